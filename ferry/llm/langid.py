@@ -100,7 +100,7 @@ def train(docs: DataFrame, usable: Column, lang_col: str = "lang", text_col: str
     rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     n = rows.count()
     if n > sample:
-        rows = rows.where(F.pmod(F.xxhash64(key_col, F.lit(seed)), F.lit(1 << 20)) < int(sample / n * (1 << 20)))
+        rows = rows.where(F.xxhash64(key_col, F.lit(seed)) < int(sample / n * 2**64) - 2**63)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book, sums = _book(dims, seed), {}
