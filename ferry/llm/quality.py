@@ -112,12 +112,13 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, bits: int =
 
 def train(docs: DataFrame, ratings: DataFrame, grades: int = 3, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", sample: int = 12_000, bits: int = 18) -> Model:
     """Fit on at most about ``sample`` rated documents, chosen by a hash of the id. Ratings are (id, grade from 0 on);
-    null ids or grades are left out, and of several ratings of a document the lowest counts."""
+    null ids or grades are left out, and of several ratings of a document the lowest counts. The chosen ratings, whose
+    number is bounded, are broadcast, so that no text is shuffled."""
     r = ratings.where(F.col(id_col).isNotNull() & F.col(grade_col).isNotNull()).groupBy(F.col(id_col).alias("_rid")).agg(F.min(grade_col).cast("int").alias("_g"))
     n = r.count()
     if n > sample:
-        r = r.where(F.pmod(F.xxhash64("_rid", F.lit(5)), F.lit(1 << 20)) < int(sample / n * (1 << 20)))
-    joined = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(r, F.col("_id") == F.col("_rid")).select("_g", "_t")
+        r = r.where(F.xxhash64("_rid", F.lit(5)) < int(sample / n * 2**64) - 2**63)
+    joined = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(r), F.col("_id") == F.col("_rid")).select("_g", "_t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
