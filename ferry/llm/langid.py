@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ferry.llm.text import veiled
+
 UNKNOWN = "und"
 
 
@@ -125,8 +127,9 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
 
     Whole texts are read; null texts and texts without a letter are ``und`` with score 0, as is everything when nothing
     was learned. Of equal cosines the first language in code point order wins. Equal rows get equal results; an empty
-    table gives an empty result; other columns pass through, so ``docs`` must not have columns of the two names.
+    table gives an empty result; other columns pass through, but for columns of the two names, which are replaced.
     """
+    docs = docs.drop(*({"lang_pred", "score"} - {text_col}))
     names = list(prototypes)
     matrix = np.stack([prototypes[k] for k in names]).astype(np.float32) if names else np.zeros((0, dims), dtype=np.float32)
     schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
@@ -147,3 +150,13 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=schema.names)
 
     return docs.mapInArrow(run, schema)
+
+
+def keep_identified(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", dims: int = 1024, seed: int = 11) -> DataFrame:
+    """The rows of ``docs`` whose language is one that was learned, with all their columns, whatever these are called.
+
+    Null texts and texts without a letter go; when nothing was learned, everything goes. An empty table stays empty.
+    """
+    inner, names = veiled(docs)
+    found = predict(inner, prototypes, names[text_col], dims, seed).where(F.col("lang_pred") != UNKNOWN)
+    return found.select(*[F.col(a).alias(c) for c, a in names.items()])

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferry.llm.text import word_count
+from ferry.llm.text import veiled, word_count
 from ferry.plans.scratch import Scratch
 
 FAR = 1e6
@@ -128,7 +128,8 @@ def take_mix(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", source_c
     got = mix(docs, scratch, id_col=id_col, source_col=source_col, **options)
     got = got.groupBy(F.col(id_col).alias("_i"), F.col(source_col).alias("_s"), F.col("size").alias("_z")).agg(F.round(F.sum("copies") / F.count("*")).cast("int").alias("_copies"))
     got = scratch.save(got.where("_copies > 0"), "taken")
-    sized = docs.withColumn("_z0", word_count(F.col(options.get("text_col", "text"))))
-    met = sized.join(got, F.col(id_col).eqNullSafe(F.col("_i")) & F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_z0") == F.col("_z")))
+    inner, names = veiled(docs)
+    sized = inner.withColumn("_z0", word_count(F.col(names[options.get("text_col", "text")])))
+    met = sized.join(got, F.col(names[id_col]).eqNullSafe(F.col("_i")) & F.col(names[source_col]).eqNullSafe(F.col("_s")) & (F.col("_z0") == F.col("_z")))
     met = met.withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return met.select(*docs.columns)
+    return met.select(*[F.col(a).alias(c) for c, a in names.items()])

@@ -136,10 +136,12 @@ def grade(docs: DataFrame, model: Model, text_col: str = "text", min_grade: floa
 
     A document is kept when its expected grade is ``min_grade`` or more and its probability of the best grade ``min_tail``
     or more. Null, empty and blank texts are graded by their length alone and never kept. Whole texts are read, equal
-    texts get equal grades, other columns pass through (they must not bear these names), empty tables stay empty.
+    texts get equal grades, other columns pass through (but for columns of these names, which are replaced), empty tables
+    stay empty.
     """
     k = len(model.cuts)
     tails = [f"p_{i + 1}" for i in range(k)]
+    docs = docs.drop(*({"expected_grade", "kept", *tails} - {text_col}))
     schema = docs.select("*", F.lit(0.0).alias("expected_grade"), *[F.lit(0.0).alias(t) for t in tails], F.lit(True).alias("kept")).schema
     at = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.cuts))

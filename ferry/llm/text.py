@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but the six ASCII white-space characters.
@@ -20,3 +20,9 @@ def ascii_lower(text: Column) -> Column:
 def word_count(text: Column) -> Column:
     """Number of words; null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def veiled(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` under column names that no operator uses, and these names by the old ones."""
+    names = {c: f"__{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
