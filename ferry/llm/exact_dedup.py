@@ -14,28 +14,40 @@ from ferry.plans.scratch import Scratch
 BROADCAST_KEYS = 2_000_000
 
 
-def _marked(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[Column], prefix_chars: int, scratch: Scratch):
-    """Every row with ``_full``: the whole text's hash where its length and prefix occur more than once, else null."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def _surviving(docs: DataFrame, text: Column, prefix_chars: int, scratch: Scratch) -> tuple[Column, Column, DataFrame]:
+    """(length, prefix hash, the table of such pairs that occur more than once)."""
     size, prefix = F.octet_length(text).cast("long"), F.xxhash64(ascii_lower(F.substring(text, 1, prefix_chars)))
     keys = scratch.save(docs.select(size.alias("_len"), prefix.alias("_pre")).groupBy("_len", "_pre").agg(F.count("*").alias("_n")), "keys")
     lengths = keys.groupBy("_len").agg(F.sum("_n").alias("_m")).where("_m > 1").select("_len")
-    alive = scratch.save(keys.where("_n > 1").join(lengths, "_len", "left_semi").select("_len", "_pre", F.lit(True).alias("_alive")), "alive")
+    alive = keys.where("_n > 1").join(lengths, "_len", "left_semi").select("_len", "_pre", F.lit(True).alias("_alive"))
+    return size, prefix, scratch.save(alive, "alive")
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[Column], prefix_chars: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(rows alone in their length and prefix, the other rows with ``_full``, the whole text's hash, and ``_row``).
+
+    Rows that are alone are not written: they come from another scan of ``docs``, so that the shared folder holds
+    candidates only. Where the surviving keys are too many to be sent about, all rows are written once instead.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    size, prefix, alive = _surviving(docs, text, prefix_chars, scratch)
     rows = docs.select(F.col(id_col).alias("_id"), *carry, text.alias("_text"), size.alias("_len"), prefix.alias("_pre"))
-    whole = F.sha2(ascii_lower(F.col("_text")), 256)
+    whole = F.sha2(ascii_lower(F.col("_text")), 256).alias("_full")
     kept = [c for c in rows.columns if c not in ("_text", "_pre", "_len")]
+    row = F.monotonically_increasing_id().alias("_row")
     if alive.count() <= BROADCAST_KEYS:
-        rows = rows.join(F.broadcast(alive), ["_len", "_pre"], "left")
-        rows = rows.select(*kept, F.when(F.col("_alive"), whole).alias("_full"))
-    else:  # too many to send about: hash in the scan and let only narrow rows travel
-        rows = rows.select(*kept, "_len", "_pre", whole.alias("_sha")).join(alive, ["_len", "_pre"], "left")
-        rows = rows.select(*kept, F.when(F.col("_alive"), F.col("_sha")).alias("_full"))
-    return scratch.save(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
+        sent = F.broadcast(alive.select("_len", "_pre"))
+        found = scratch.save(rows.join(sent, ["_len", "_pre"]).select(*kept, whole, row), "rows")
+        return rows.join(sent, ["_len", "_pre"], "left_anti").select(*kept), found
+    # hash in the scan and let only narrow rows travel
+    rows = rows.select(*kept, "_len", "_pre", whole.alias("_sha")).join(alive, ["_len", "_pre"], "left")
+    found = scratch.save(rows.select(*kept, F.when(F.col("_alive"), F.col("_sha")).alias("_full"), row), "rows")
+    return found.where("_full is null").select(*kept), found.where("_full is not null")
 
 
 def _groups(rows: DataFrame, scratch: Scratch) -> DataFrame:
     best = F.max(F.struct("_id", "_row"))
-    found = rows.where("_full is not null").groupBy("_full").agg(best.alias("_best"), F.count("*").alias("_size"))
+    found = rows.groupBy("_full").agg(best.alias("_best"), F.count("*").alias("_size"))
     return scratch.save(found.select("_full", F.col("_best._id").alias("_keep"), F.col("_best._row").alias("_keep_row"), "_size"), "groups")
 
 
@@ -47,21 +59,21 @@ def exact_dedup(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
     once have their whole text hashed, and no text is shuffled. A hot group is counted map-side and met by a join that
     AQE may split. An empty table gives an empty result. Columns other than id and text are ignored, whatever their name.
     """
-    rows = _marked(docs, id_col, text_col, carry, prefix_chars, scratch)
+    single, rows = _marked(docs, id_col, text_col, carry, prefix_chars, scratch)
     groups = _groups(rows, scratch)
-    extra = [c for c in rows.columns if c not in ("_id", "_full", "_row")]
-    alone = rows.where("_full is null").select(F.col("_id").alias(id_col), *extra, F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
-    met = rows.where("_full is not null").join(groups, "_full").select(F.col("_id").alias(id_col), *extra, F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"), (F.col("_row") == F.col("_keep_row")).alias("kept"))
+    extra = [c for c in single.columns if c != "_id"]
+    alone = single.select(F.col("_id").alias(id_col), *extra, F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+    met = rows.join(groups, "_full").select(F.col("_id").alias(id_col), *extra, F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"), (F.col("_row") == F.col("_keep_row")).alias("kept"))
     return alone.unionByName(met)
 
 
 def drop_exact_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 256) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. Same rules as :func:`exact_dedup`.
 
-    The marked rows are written once with their columns, so that each row has an identity even where ids repeat.
+    Candidate rows are written once with their columns, so that each has an identity even where ids repeat.
     """
     inner = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
-    rows = _marked(docs, id_col, text_col, [F.col(c).alias(a) for c, a in inner.items()], prefix_chars, scratch)
+    single, rows = _marked(docs, id_col, text_col, [F.col(c).alias(a) for c, a in inner.items()], prefix_chars, scratch)
     winners = _groups(rows, scratch).select(F.col("_keep_row").alias("_row"))
-    stay = rows.where("_full is null").unionByName(rows.where("_full is not null").join(winners, "_row", "left_semi"), allowMissingColumns=True)
+    stay = single.unionByName(rows.join(winners, "_row", "left_semi"), allowMissingColumns=True)
     return stay.select(*[F.col(a).alias(c) for c, a in inner.items()])
