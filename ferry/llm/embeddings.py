@@ -79,26 +79,25 @@ def seed_lists(reps: DataFrame, n: int, dims: int, trees: int, first: int, k: in
     return spread.mapInArrow(near, "a long, b long, sim double")
 
 
-def keep_best(found: DataFrame, limits: DataFrame | None, k: int) -> DataFrame:
-    """The best ``k`` neighbours of each vector, or as many as its own limit says. Both ends get a chance of the pair."""
+def keep_best(found: DataFrame, threshold: float, k: int) -> DataFrame:
+    """Every link and the ``k`` best of the other neighbours of each vector. Both ends get a chance of the pair."""
     both = found.select("a", "b", "sim").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
     one = both.groupBy("a", "b").agg(F.max("sim").alias("sim"))
-    ranked = one.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.col("sim").desc(), "b")))
-    if limits is None:
-        return ranked.where(F.col("rank") <= k).select("a", "b", "sim", F.lit(k).alias("k"))
-    return ranked.join(limits, "a", "left").withColumn("k", F.coalesce("k", F.lit(k))).where("rank <= k").select("a", "b", "sim", "k")
+    rest = one.where(F.col("sim") < threshold).withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.col("sim").desc(), "b")))
+    return one.where(F.col("sim") >= threshold).unionByName(rest.where(F.col("rank") <= k).drop("rank"))
 
 
 def visit(lists: DataFrame, visitors: DataFrame, reps: DataFrame, floor: float) -> DataFrame:
     """Neighbours of neighbours: each visitor (a goes to host) is compared with all of its host's list.
 
-    Vectors meet at the host: the list's members and the visitors, both of bounded number. Only pairs better than the
-    visitor's worst listed one (``worst``; ``floor`` for lists with room) come back.
+    Vectors meet at the host: the list's members and the visitors. Only pairs that the visitor does not list yet and that
+    are better than ``worst`` (its worst listed one that is no link; -2 for lists with room) come back.
     """
-    shown = lists.select(F.col("a").alias("host"), F.col("b").alias("id"), F.lit(None).cast("double").alias("worst"))
-    come = visitors.select("host", F.col("a").alias("id"), "worst")
+    shown = lists.join(visitors.select(F.col("host").alias("a")).distinct(), "a", "left_semi")
+    shown = shown.select(F.col("a").alias("host"), F.col("b").alias("id"), F.lit(None).cast("double").alias("worst"), F.lit(None).cast("array<long>").alias("known"))
+    come = visitors.select("host", F.col("a").alias("id"), "worst", "known")
     met = shown.unionByName(come).join(reps, "id")
-    met = met.groupBy("host").agg(F.collect_list(F.when(F.col("worst").isNull(), F.struct("id", "v"))).alias("m"), F.collect_list(F.when(F.col("worst").isNotNull(), F.struct("id", "worst", "v"))).alias("c"))
+    met = met.groupBy("host").agg(F.collect_list(F.when(F.col("worst").isNull(), F.struct("id", "v"))).alias("m"), F.collect_list(F.when(F.col("worst").isNotNull(), F.struct("id", "worst", "known", "v"))).alias("c"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,55 +107,114 @@ def visit(lists: DataFrame, visitors: DataFrame, reps: DataFrame, floor: float)
                     continue
                 mid, cid = m.field("id").to_numpy(), c.field("id").to_numpy()
                 worst, x, y = c.field("worst").to_numpy(), _unit(_stack(c.field("v"))), _unit(_stack(m.field("v")))
+                known = c.field("known")
                 for lo in range(0, len(cid), 512):
                     s = x[lo : lo + 512] @ y.T
-                    i, j = np.nonzero((s > worst[lo : lo + 512, None]) & (s >= floor) & (cid[lo : lo + 512, None] != mid[None, :]))
+                    ok = (s > worst[lo : lo + 512, None]) & (s >= floor) & (cid[lo : lo + 512, None] != mid[None, :])
+                    for i in np.nonzero(ok.any(axis=1))[0]:
+                        ok[i] &= ~np.isin(mid, known[lo + int(i)].values.to_numpy())
+                    i, j = np.nonzero(ok)
                     if len(i):
                         yield pa.RecordBatch.from_arrays([pa.array(cid[lo + i]), pa.array(mid[j]), pa.array(s[i, j])], names=["a", "b", "sim"])
 
     return met.where("size(c) > 0").select("host", "m", "c").mapInArrow(run, "a long, b long, sim double")
 
 
-def _visitors(lists: DataFrame, sample: int, round_: int, reverse: bool) -> DataFrame:
-    """Each vector goes to ``sample`` of its neighbours, picked anew every round by a hash, and of those that list it."""
-    worst = lists.groupBy("a").agg(F.when(F.count("*") >= F.max("k"), F.min("sim")).otherwise(-2.0).alias("worst"))
-    go = lists.select("a", F.col("b").alias("host"))
-    if reverse:
+def _visitors(lists: DataFrame, active: DataFrame | None, threshold: float, k: int, round_: int) -> DataFrame:
+    """Where vectors go: all of them (or the ``active`` ones) to ``k`` of their neighbours, picked anew every round by a
+    hash, and, when all go, of those that list them."""
+    own = lists if active is None else lists.join(active, "a", "left_semi")
+    other = F.when(F.col("sim") < threshold, F.col("sim"))
+    worst = own.groupBy("a").agg(F.when(F.count(other) >= k, F.min(other)).otherwise(-2.0).alias("worst"), F.collect_list("b").alias("known"))
+    go = own.select("a", F.col("b").alias("host"))
+    if active is None:
         go = go.unionByName(lists.select(F.col("b").alias("a"), F.col("a").alias("host"))).distinct()
     pick = Window.partitionBy("a").orderBy(F.xxhash64("a", "host", F.lit(round_)))
-    return go.withColumn("_r", F.row_number().over(pick)).where(F.col("_r") <= sample).join(worst, "a").select("a", "host", "worst")
+    return go.withColumn("_r", F.row_number().over(pick)).where(F.col("_r") <= k).join(worst, "a").select("a", "host", "worst", "known")
 
 
-def audit(reps: DataFrame, links: DataFrame, threshold: float, queries: int, rng: int) -> tuple[int, int]:
-    """(links found, links there are) of at most ``queries`` vectors, by brute force against all."""
-    q = reps.orderBy(F.xxhash64("id", F.lit(rng)), "id").limit(queries).collect()
-    if not q:
-        return 0, 0
-    qid, qv = np.array([r["id"] for r in q]), _unit(np.array([r["v"] for r in q]))
-    shared = reps.sparkSession.sparkContext.broadcast((qid, qv))
+def refine(lists: DataFrame, reps: DataFrame, threshold: float, k: int, floor: float, scratch: Scratch, name: str, first: int, max_rounds: int = 60) -> tuple[DataFrame, int]:
+    """(lists, rounds): rounds of neighbours-of-neighbours until none adds a link.
+
+    All vectors go while over 1% of those with room (fewer than ``k`` links) that have links gain one in a round; then
+    those go that gained a link in the round before, at either end, until there are none.
+    """
+    active = None
+    for r in range(first, first + max_rounds):
+        to = scratch.save(_visitors(lists, active, threshold, k, r), f"{name}-go-{r}")
+        found = scratch.save(visit(lists, to, reps, floor if active is None else threshold), f"{name}-found-{r}")
+        new = found.where(F.col("sim") >= threshold)
+        gained = scratch.save(new.select("a").unionByName(new.select(F.col("b").alias("a"))).distinct(), f"{name}-gained-{r}")
+        room = None
+        if active is None:
+            linked = lists.where(F.col("sim") >= threshold).groupBy("a").agg(F.count("*").alias("m"))
+            room = gained.withColumn("g", F.lit(1)).join(linked, "a", "full").where(F.coalesce("m", F.lit(0)) < k).agg(F.count("g"), F.count("*")).first()
+        lists = scratch.save(keep_best(lists.unionByName(found), threshold, k), f"{name}-lists-{r}")
+        if room is not None and room[0] > 0.01 * room[1]:
+            continue
+        if not gained.limit(1).count():
+            return lists, r + 1
+        active = gained
+    raise RuntimeError(f"links were still found after {max_rounds} rounds")
+
+
+def against_all(reps: DataFrame, rows: list, threshold: float) -> DataFrame:
+    """Links (a, b, sim) between a bounded number of vectors, as rows (id, v), and all vectors, by brute force."""
+    shared = reps.sparkSession.sparkContext.broadcast((np.array([r["id"] for r in rows], dtype=np.int64), _unit(np.array([r["v"] for r in rows]))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         i, x = shared.value
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            s = x @ _unit(_stack(batch.column(1))).T
-            a, b = np.nonzero((s >= threshold) & (i[:, None] != ids[None, :]))
-            yield pa.RecordBatch.from_arrays([pa.array(i[a]), pa.array(ids[b])], names=["a", "b"])
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                ids = part.column(0).to_numpy(zero_copy_only=False)
+                s = x @ _unit(_stack(part.column(1))).T
+                a, b = np.nonzero((s >= threshold) & (i[:, None] != ids[None, :]))
+                yield pa.RecordBatch.from_arrays([pa.array(i[a]), pa.array(ids[b]), pa.array(s[a, b])], names=["a", "b", "sim"])
+
+    return reps.select("id", "v").mapInArrow(run, "a long, b long, sim double")
+
 
-    truth = reps.mapInArrow(run, "a long, b long")
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().withColumn("hit", F.lit(1))
-    row = truth.join(both, ["a", "b"], "left").agg(F.count("*").alias("n"), F.count("hit").alias("h")).first()
-    return int(row["h"]), int(row["n"])
+def strata(reps: DataFrame, lists: DataFrame, threshold: float, k: int) -> DataFrame:
+    """(id, v, stratum): vectors without a link found (0), with 1 to ``k`` (1) and with more (2)."""
+    found = lists.where(F.col("sim") >= threshold).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("m"))
+    return reps.join(found, "id", "left").select("id", "v", F.when(F.col("m").isNull(), 0).when(F.col("m") <= k, 1).otherwise(2).alias("stratum"))
+
+
+def audit(reps: DataFrame, lists: DataFrame, threshold: float, k: int, queries: int, rng: int) -> tuple[dict[str, float], set[int]]:
+    """Mean recall of a vector's links, apart for vectors with up to ``k`` links ("small") and more ("large"), and the
+    strata in which a link was lost.
+
+    At most ``queries`` vectors of each stratum are compared with all; each counts for its share of its stratum. A class
+    of which no vector was drawn is left out.
+    """
+    laid = strata(reps, lists, threshold, k)
+    sizes = {r["stratum"]: r["count"] for r in laid.groupBy("stratum").count().collect()}
+    q = [r for s in sorted(sizes) for r in laid.where(F.col("stratum") == s).orderBy(F.xxhash64("id", F.lit(rng)), "id").limit(queries).collect()]
+    if not q:
+        return {}, set()
+    of = {r["id"]: r["stratum"] for r in q}
+    hits = lists.where(F.col("sim") >= threshold).select("a", "b", F.lit(1).alias("hit"))
+    got = against_all(reps, q, threshold).join(hits, ["a", "b"], "left").groupBy("a").agg(F.count("*").alias("n"), F.count("hit").alias("h")).collect()
+    sums: dict[str, list[float]] = {}
+    for r in got:
+        w = sizes[of[r["a"]]] / min(queries, sizes[of[r["a"]]])
+        one = sums.setdefault("small" if r["n"] <= k else "large", [0.0, 0.0])
+        one[0] += w * r["h"] / r["n"]
+        one[1] += w
+    return {c: a / b for c, (a, b) in sums.items()}, {of[r["a"]] for r in got if r["h"] < r["n"]}
 
 
 def near_vectors(vectors: DataFrame, scratch: Scratch, threshold: float = 0.9, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = 0.97, queries: int = 500, max_extra: int = 3) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row: links of cosine ``threshold`` or more, and their components.
 
-    Equal vectors are one class from the start, so thousands of copies cost one row. Lists of the ``k`` nearest come from
-    random-projection trees (their number follows from the odds of a pair at the threshold), and rounds of
-    neighbours-of-neighbours refine them. A list whose last entry still passes the threshold is saturated: its limit
-    grows fourfold and its vector goes on visiting until no list is saturated, so no link is capped. An audit compares
-    the links of ``queries`` vectors with brute force and orders more trees and rounds while recall is below ``recall``.
+    Equal vectors are one class from the start, so thousands of copies cost one row. Lists of all links found and the
+    ``k`` nearest others come from random-projection trees (their number follows from the odds of a pair at the
+    threshold), and rounds of neighbours-of-neighbours refine them until no vector gains a link; no list caps its links.
+    An audit compares up to ``queries`` vectors of each stratum (no, few, many links found) with brute force and orders
+    more trees and rounds while the mean recall of vectors with few or with many links is below ``recall``. If it still
+    is after ``max_extra`` times, all vectors of the strata that lost links are compared with all rows, in blocks, and a
+    last audit raises an error if that was not enough.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing and are their own
     component. Vectors of different lengths are never compared. Repeated rows of an id count as copies of each other.
@@ -194,26 +252,31 @@ def _links(reps: DataFrame, n: int, dims: int, scratch: Scratch, name: str, thre
     stays = 1 - math.acos(threshold) / math.pi
     leaf = stays ** max(0, math.ceil(math.log2(max(1, n / 256))))
     trees = max(2, math.ceil(math.log(0.02) / math.log(max(1e-9, 1 - 0.9 * leaf))))
-    lists, limits, done = None, None, 0
+    lists, done, rounds, lossy = None, 0, 0, set()
     for extra in range(max_extra + 1):
         add = trees if not extra else max(2, trees // 2)
         seeds = seed_lists(reps, n, dims, add, done, k, floor, scratch, f"{name}-{extra}")
         done += add
-        lists = scratch.save(keep_best(seeds if lists is None else lists.select("a", "b", "sim").unionByName(seeds), limits, k), f"{name}-{extra}-seeds")
-        found = visit(lists, _visitors(lists, k, extra, True), reps, floor)
-        lists = scratch.save(keep_best(lists.select("a", "b", "sim").unionByName(found), limits, k), f"{name}-{extra}-round")
-        for grow in range(40):
-            full = lists.groupBy("a").agg(F.count("*").alias("m"), F.min("sim").alias("low"), F.max("k").alias("k")).where(f"m >= k and low >= {threshold!r}")
-            full = scratch.save(full.select("a", (F.col("k") * 4).alias("k")), f"{name}-{extra}-full-{grow}")
-            if not full.limit(1).count():
-                break
-            old = lists.groupBy("a").agg(F.max("k").alias("k"))
-            limits = scratch.save(old.join(full.select("a"), "a", "left_anti").unionByName(full), f"{name}-{extra}-limits-{grow}")
-            go = _visitors(lists, 6, 100 + grow, False).join(full.select("a"), "a", "left_semi").withColumn("worst", F.lit(-2.0))
-            found = visit(lists, go, reps, threshold)
-            lists = scratch.save(keep_best(lists.select("a", "b", "sim").unionByName(found), limits, k), f"{name}-{extra}-grown-{grow}")
-        hit, there = audit(reps, lists.where(F.col("sim") >= threshold), threshold, queries, extra)
-        if hit >= recall * there:
+        lists = scratch.save(keep_best(seeds if lists is None else lists.unionByName(seeds), threshold, k), f"{name}-{extra}-seeds")
+        lists, rounds = refine(lists, reps, threshold, k, floor, scratch, name, rounds)
+        got, lossy = audit(reps, lists, threshold, k, queries, extra)
+        if all(x >= recall for x in got.values()):
             break
-    near = lists.where(F.col("sim") >= threshold).select("a", "b")
-    return scratch.save(near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-links")
+    else:
+        lists = compare_strata(reps, lists, lossy, threshold, k, scratch, name)
+        got, _ = audit(reps, lists, threshold, k, queries, max_extra + 1)
+        if any(x < recall for x in got.values()):
+            raise RuntimeError(f"recall of links by class: {got}, below {recall}")
+    return scratch.save(lists.where(F.col("sim") >= threshold).select("a", "b"), f"{name}-links")
+
+
+def compare_strata(reps: DataFrame, lists: DataFrame, lossy: set[int], threshold: float, k: int, scratch: Scratch, name: str, block: int = 4096) -> DataFrame:
+    """The lists with all links of all vectors of the ``lossy`` strata, which are compared with all rows in blocks."""
+    weak = scratch.save(strata(reps, lists, threshold, k).where(F.col("stratum").isin(*lossy)).select("id", "v"), f"{name}-weak")
+    blocks = max(1, -(-weak.count() * 2 // block))  # half full, so that none by hash is far above ``block``
+    for i in range(blocks):
+        rows = weak.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).collect()
+        if rows:
+            against_all(reps, rows, threshold).write.mode("append").parquet(scratch.path(f"{name}-exact"))
+    exact = lists.sparkSession.read.schema("a long, b long, sim double").parquet(scratch.path(f"{name}-exact"))
+    return scratch.save(keep_best(lists.unionByName(exact), threshold, k), f"{name}-whole")
