@@ -57,7 +57,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embeddings.near_vectors(_table(spark, sf_dir, "embeddings"), Scratch(spark, "op5"))
+    return embeddings.near_vectors(_table(spark, sf_dir, "embeddings"), Scratch(spark, "op5"))[0]
 
 
 def grades(labels: DataFrame) -> DataFrame:

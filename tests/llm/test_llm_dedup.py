@@ -135,13 +135,13 @@ def test_vectors_with_a_large_group_and_odd_rows(spark, scratch):
     rows |= {2000 + i: rows[7] for i in range(50)}
     rows |= {3000: None, 3001: [], 3002: [0.0] * 16, 3003: [None] + [1.0] * 15, 3004: [float("nan")] * 16, 3005: [float("inf")] + [1.0] * 15, 3006: [1.0, 2.0], 3007: [2.0, 4.0], 3008: [1e300, 2e300]}
     df = spark.createDataFrame([(i, v, 0) for i, v in rows.items()], "vec_id long, embedding array<double>, n_links int")
-    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_vectors(df, scratch).collect()}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_vectors(df, scratch)[0].collect()}
     want = brute_vectors({i: v for i, v in rows.items() if i != 3008})
     want[3006], want[3007], want[3008] = (2, 3006), (2, 3006), (2, 3006)
     assert set(got) == set(want)
     assert sum(got[i] == want[i] for i in want) >= 0.97 * len(want)
     assert all(got[i] == want[i] for i in range(3000, 3009))
-    assert embeddings.near_vectors(df.limit(0), scratch).count() == 0
+    assert embeddings.near_vectors(df.limit(0), scratch)[0].count() == 0
 
 
 def brute_targets(sizes):
