@@ -96,7 +96,9 @@ def train(docs: DataFrame, usable: Column, lang_col: str = "lang", text_col: str
     """Language prototypes: the bundled unit vectors of labelled documents.
 
     Learns from rows with ``usable`` and a non-null language, from about ``sample`` of them when there are more, chosen
-    by a hash of the key. Each task bundles what it reads into one vector per language; these partial sums are added by
+    by a hash of the key. Repeated rows count each; the sums, and so the prototypes, do not depend on the order of rows
+    but for rounding. An empty table, or one without a labelled text with a letter, gives no prototypes. Other columns are
+    ignored. Each task bundles what it reads into one vector per language; these partial sums are added by
     Spark and one vector per language comes back.
     """
     rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())

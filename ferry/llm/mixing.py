@@ -40,7 +40,8 @@ def _solve(hist: DataFrame, sources: DataFrame, most: float, scratch: Scratch, t
 
     The rates nearest to one in relative entropy, under a source's token constraint and the bound ``most``, are
     min(most, exp(tilt * size / mean)). Each round sums value and slope per source over the histogram of sizes; steps are
-    bounded and fall back to bisection, so that the clipped part cannot throw them off.
+    bounded and fall back to bisection, so that the clipped part cannot throw them off. An error where ``rounds`` do not
+    bring every source within ``tol`` of its target.
     """
     full = F.col("target") >= most * F.col("source_size") * (1 - 1e-12)
     state = sources.select("*", F.when(F.col("target") <= 0, -FAR).when(full, FAR).otherwise(0.0).alias("tilt"), F.lit(-FAR).alias("lo"), F.lit(FAR).alias("hi"), (full | (F.col("target") <= 0)).alias("done"))
@@ -54,7 +55,8 @@ def _solve(hist: DataFrame, sources: DataFrame, most: float, scratch: Scratch, t
         got = j.groupBy(*keys).agg(F.sum(F.col("w") * F.least(F.lit(float(most)), "r")).alias("f"), F.sum(F.when(F.col("r") < most, F.col("w") * F.col("u") * F.col("r")).otherwise(0.0)).alias("d"))
         gap = F.col("f") - F.col("target")
         got = got.withColumn("lo", F.when(gap < 0, F.col("tilt")).otherwise(F.col("lo"))).withColumn("hi", F.when(gap > 0, F.col("tilt")).otherwise(F.col("hi")))
-        step = F.when(F.col("d") > 0, F.least(F.lit(2.0), F.greatest(F.lit(-2.0), -gap / F.col("d")))).otherwise(F.when(gap < 0, 2.0).otherwise(-2.0))
+        reach = F.greatest(F.lit(2.0), F.abs("tilt"))
+        step = F.when(F.col("d") > 0, F.least(reach, F.greatest(-reach, -gap / F.col("d")))).otherwise(F.when(gap < 0, reach).otherwise(-reach))
         new = F.col("tilt") + step
         new = F.when((new > F.col("lo")) & (new < F.col("hi")), new).otherwise((F.col("lo") + F.col("hi")) / 2)
         done = F.abs(gap) <= tol * F.col("target")
@@ -63,8 +65,8 @@ def _solve(hist: DataFrame, sources: DataFrame, most: float, scratch: Scratch, t
         scratch.drop(f"tilt-{i - 1}")
         state = nxt
         if not state.where("not done").limit(1).count():
-            break
-    return state
+            return state
+    raise RuntimeError(f"the tilt of some source was not found in {rounds} rounds")
 
 
 def _copies(hist: DataFrame, state: DataFrame, most: int, passes: int = 5) -> DataFrame:
@@ -123,13 +125,19 @@ def mix(docs: DataFrame, scratch: Scratch, weights: Sequence[float] = (5, 2, 1),
 def take_mix(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken, with all its columns.
 
-    Decisions travel by id. Rows that repeat an id within a source share their copies evenly, rounded.
+    Decisions travel by id. Rows that repeat an id within a source, at the same size, share the copies they get together,
+    one more for the first of them where these do not divide evenly; only where there are such rows do they meet.
     """
     got = mix(docs, scratch, id_col=id_col, source_col=source_col, **options)
-    got = got.groupBy(F.col(id_col).alias("_i"), F.col(source_col).alias("_s"), F.col("size").alias("_z")).agg(F.round(F.sum("copies") / F.count("*")).cast("int").alias("_copies"))
-    got = scratch.save(got.where("_copies > 0"), "taken")
+    got = got.groupBy(F.col(id_col).alias("_i"), F.col(source_col).alias("_s"), F.col("size").alias("_z")).agg(F.sum("copies").cast("int").alias("_t"), F.count("*").cast("int").alias("_n"))
+    got = scratch.save(got.where("_t > 0"), "taken")
     inner, names = veiled(docs)
     sized = inner.withColumn("_z0", word_count(F.col(names[options.get("text_col", "text")])))
     met = sized.join(got, F.col(names[id_col]).eqNullSafe(F.col("_i")) & F.col(names[source_col]).eqNullSafe(F.col("_s")) & (F.col("_z0") == F.col("_z")))
-    met = met.withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return met.select(*[F.col(a).alias(c) for c, a in names.items()])
+    taken = met.where("_n = 1").withColumn("_copies", F.col("_t"))
+    if got.where("_n > 1").limit(1).count():
+        first = F.row_number().over(Window.partitionBy("_i", "_s", "_z").orderBy(F.xxhash64(*names.values())))
+        share = F.floor(F.col("_t") / F.col("_n")) + F.when(first <= F.col("_t") % F.col("_n"), 1).otherwise(0)
+        taken = taken.unionByName(met.where("_n > 1").withColumn("_copies", share.cast("int")))
+    taken = taken.where("_copies > 0").withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return taken.select(*[F.col(a).alias(c) for c, a in names.items()])

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,20 +45,24 @@ def pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 1024,
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                out: list[list] = [[], [], [], [], [], []]
+                rows: list[tuple[int | None, int, int, int, int]] = []
+                held: list[np.ndarray] = []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     ids = enc.encode(text.as_py() or "", allowed_special="all")
                     ids.append(end_id)
                     whole = np.array(ids, dtype="<u4")
                     n = -(-len(ids) // capacity)
                     cuts = [0, *range(len(ids) - (n - 1) * capacity, len(ids) + 1, capacity)]
-                    for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                        for col, v in zip(out, (doc, k, a, b - a, zlib.crc32(whole[a:b].tobytes()), ids[a:b] if keep_ids else None), strict=True):
-                            col.append(v)
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-                m = len(names) if keep_ids else len(names) - 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out[:m], types, strict=False)], names=names[:m])
+                    rows += [(doc, k, a, b - a, zlib.crc32(whole[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+                    held.append(whole)
+                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)]
+                if keep_ids:
+                    ends = np.concatenate(([0], np.cumsum([r[3] for r in rows], dtype=np.int64))).astype(np.int32)
+                    cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held or [np.zeros(0, dtype="<u4")]).astype(np.int32))))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, schema)
 
@@ -185,16 +190,37 @@ def plan_bins(histogram: dict[int, int], capacity: int = 1024, groups: int = 96,
     return [k for r in free for k in free[r]]
 
 
-def pack(items: DataFrame, scratch: Scratch, capacity: int = 1024, bucket: int = 20_000, groups: int = 96) -> DataFrame:
+def _numbered(items: DataFrame) -> DataFrame:
+    """Adds (_task, _no): the task that wrote a row, and how many rows of its length that task wrote before it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, seen = TaskContext.get().partitionId(), defaultdict(int)
+        for batch in batches:
+            length = batch.column(batch.schema.names.index("length")).to_numpy(zero_copy_only=False)
+            order = np.argsort(length, kind="stable")
+            values, counts = np.unique(length, return_counts=True)
+            no = np.empty(len(length), dtype=np.int64)
+            no[order] = np.arange(len(length)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat([seen[int(v)] for v in values], counts).astype(np.int64)
+            for v, c in zip(values.tolist(), counts.tolist(), strict=True):
+                seen[v] += c
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(no), task, dtype=np.int64)), pa.array(no)], names=[*batch.schema.names, "_task", "_no"])
+
+    schema = items.select("*", F.lit(0).cast("long").alias("_task"), F.lit(0).cast("long").alias("_no")).schema
+    return items.mapInArrow(run, schema)
+
+
+def pack(items: DataFrame, scratch: Scratch, capacity: int = 1024, groups: int = 96) -> DataFrame:
     """Adds (sequence_id, offset) to token pieces: every piece in one sequence of at most ``capacity`` tokens.
 
-    Only the histogram of lengths (``capacity`` rows at most) comes to the driver. Items are numbered within their length
-    by buckets of about ``bucket`` rows of a hash, so that no length, however common, is ordered in one task; the number
-    says which bin and place the plan gives them. Repeated rows are packed each; an empty table gives an empty result.
+    Only the histogram of lengths (``capacity`` rows at most) comes to the driver. Pieces are numbered within their length
+    by the tasks that write them, and the tasks' counts are added up, so that no piece moves to be numbered and no length,
+    however common, is ordered in one task; the number says which bin and place the plan gives them. Repeated rows are
+    packed each; an empty table gives an empty result.
     """
-    items = scratch.save(items, "pieces")
-    histogram = {int(r[0]): int(r[1]) for r in items.groupBy("length").count().collect()}
-    total = sum(histogram.values())
+    columns = items.columns
+    items = scratch.save(_numbered(items), "pieces")
+    counts = scratch.save(items.groupBy("length", "_task").agg(F.count("*").alias("_k")), "counts")
+    histogram = {int(r[0]): int(r[1]) for r in counts.groupBy("length").agg(F.sum("_k")).collect()}
     firsts: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
     used: dict[int, int] = defaultdict(int)
     base = 0
@@ -208,13 +234,9 @@ def pack(items: DataFrame, scratch: Scratch, capacity: int = 1024, bucket: int =
     table = {n: tuple(np.array(c, dtype=np.int64) for c in zip(*rows, strict=True)) for n, rows in firsts.items()}
     shared = items.sparkSession.sparkContext.broadcast(table)
 
-    buckets = max(1, -(-total // bucket))
-    dealt = items.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
-    counts = dealt.groupBy("length", "_b").agg(F.count("*").alias("_k"))
-    before = Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    off = scratch.save(counts.select("length", "_b", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_off")), "offsets")
-    numbered = dealt.withColumn("_rn", F.row_number().over(Window.partitionBy("length", "_b").orderBy("doc_id", "piece", "ids_crc32")))
-    numbered = numbered.join(off, ["length", "_b"]).withColumn("_no", F.col("_off") + F.col("_rn") - 1)
+    before = Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    off = scratch.save(counts.select("length", "_task", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_off")), "offsets")
+    numbered = items.join(off, ["length", "_task"]).withColumn("_no", F.col("_off") + F.col("_no"))
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, no: pd.Series) -> pd.DataFrame:
@@ -228,4 +250,18 @@ def pack(items: DataFrame, scratch: Scratch, capacity: int = 1024, bucket: int =
             seq[mine], offs[mine] = first[i] + numbers[mine] - start[i], offset[i]
         return pd.DataFrame({"sequence_id": seq, "offset": offs})
 
-    return numbered.withColumn("_at", place("length", "_no")).select(*items.columns, "_at.sequence_id", "_at.offset")
+    return numbered.withColumn("_at", place("length", "_no")).select(*columns, "_at.sequence_id", "_at.offset")
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """(sequence_id, length, ids, doc_ids, pieces, offsets): the training sequences, from packed pieces that keep their ids.
+
+    A sequence holds at most the capacity, so its group is bounded; its pieces stand in order of their offset.
+    """
+    held = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "doc_id", "piece", "ids"))).alias("_h"))
+
+    def each(name):
+        return F.transform("_h", lambda x: x[name])
+
+    ids = F.flatten(each("ids"))
+    return held.select("sequence_id", F.size(ids).alias("length"), ids.alias("ids"), each("doc_id").alias("doc_ids"), each("piece").alias("pieces"), each("offset").alias("offsets"))

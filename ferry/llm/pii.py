@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -59,10 +58,6 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def joined(spans: list[Span]) -> str:
-    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
-
-
 # --- the random field
 
 LONGEST = 24  # tokens of an entity at most
@@ -197,9 +192,10 @@ def decode(model: Model, r: Region) -> list[tuple[str, int, int]]:
     return out[::-1]
 
 
-def _gradient(model: Model, features: np.ndarray, allowed: np.ndarray, gold: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Observed minus expected features of one region, by forward and backward sums over segments."""
-    s, n = np.where(allowed[:, :, None], features @ model.weights, -1e9), len(features)
+def _gradient(model: Model, r: Region, gold: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Observed minus expected features of one region of any length, by forward and backward sums over segments. Features
+    are made for a block of starts at a time, twice, so that memory follows the scores only."""
+    s, n = _scores(model, r), r.n
 
     def total(x, axis):
         m = x.max(axis=axis, keepdims=True)
@@ -221,17 +217,20 @@ def _gradient(model: Model, features: np.ndarray, allowed: np.ndarray, gold: lis
         bwd[i] = total(model.moves + onto[i][None, :], 1)
     z = float(total(fwd[n], 0))
     gw, gm = np.zeros_like(model.weights), np.zeros_like(model.moves)
-    for i in range(n):
-        w = min(LONGEST, n - i)
-        p = np.exp(np.minimum(into[i, :O] + s[i, :w] + bwd[i + 1 : i + w + 1, :O] - z, 0))
-        gw -= features[i, :w].T @ p
-        gm -= np.exp(np.minimum(fwd[i][:, None] + model.moves + onto[i][None, :] - z, 0))
-    y0, i = O, 0
     marks = {a: (b, y) for a, b, y in gold}
+    for lo in range(0, n, 256):
+        features, _ = r.segments(lo, min(n, lo + 256))
+        for i in range(lo, min(n, lo + 256)):
+            w = min(LONGEST, n - i)
+            p = np.exp(np.minimum(into[i, :O] + s[i, :w] + bwd[i + 1 : i + w + 1, :O] - z, 0))
+            gw -= features[i - lo, :w].T @ p
+            gm -= np.exp(np.minimum(fwd[i][:, None] + model.moves + onto[i][None, :] - z, 0))
+            if i in marks:
+                b, y = marks[i]
+                gw[:, y] += features[i - lo, b - i - 1]
+    y0, i = O, 0
     while i < n:
         b, y = marks.get(i, (i + 1, O))
-        if y < O:
-            gw[:, y] += features[i, b - i - 1]
         gm[y0, y] += 1
         i, y0 = b, y
     return gw, gm
@@ -263,27 +262,22 @@ def _variants(text: str, lo: int, hi: int, spans: list[Span], rng: np.random.Gen
                 yield t[:a] + new + t[b:], sorted(rest + [(k, a, a + len(new))] * keep, key=lambda s: s[1])
 
 
-def fit(samples: list[str], epochs: int = 6, rate: float = 0.25, decay: float = 1e-4, longest: int = 200) -> Model:
-    """Maximum likelihood by Adagrad on regions of the samples, marked by the fixed rules and varied as above."""
+def fit(samples: list[tuple[str, list[Span]]], epochs: int = 6, rate: float = 0.25, decay: float = 1e-4) -> Model:
+    """Maximum likelihood by Adagrad on regions (text, spans of the fixed rules), varied as above."""
     rng = np.random.default_rng(3)
     data = []
-    for text in samples:
-        spans = base_spans(text)
-        for lo, hi in regions(text):
-            for t, marks in _variants(text, lo, hi, spans, rng):
-                for a, b in regions(t):
-                    r = Region(t, a, b)
-                    if r.n > longest:
-                        continue
-                    features, allowed = r.segments(0, r.n)
-                    starts, stops = {x: i for i, (x, _) in enumerate(r.bounds)}, {y: i + 1 for i, (_, y) in enumerate(r.bounds)}
-                    gold, free = [], 0
-                    for k, x, y in marks:
-                        i, j = starts.get(x), stops.get(y)
-                        if i is not None and j is not None and free <= i < j <= i + LONGEST and allowed[i, j - i - 1]:
-                            gold.append((i, j, KINDS.index(k)))
-                            free = j
-                    data.append((features, allowed, gold))
+    for text, spans in samples:
+        for t, marks in _variants(text, 0, len(text), spans, rng):
+            for a, b in regions(t):
+                r = Region(t, a, b)
+                starts, stops = {x: i for i, (x, _) in enumerate(r.bounds)}, {y: i + 1 for i, (_, y) in enumerate(r.bounds)}
+                gold, free = [], 0
+                for k, x, y in marks:
+                    i, j = starts.get(x), stops.get(y)
+                    if i is not None and j is not None and free <= i < j <= i + LONGEST and r.segments(i, i + 1)[1][0, j - i - 1]:
+                        gold.append((i, j, KINDS.index(k)))
+                        free = j
+                data.append((r, gold))
     width = Region("0", 0, 1).segments(0, 1)[0].shape[-1]
     model = Model(np.zeros((width, O)), np.zeros((O + 1, O + 1)))
     model.weights[0] = -6.0
@@ -298,22 +292,38 @@ def fit(samples: list[str], epochs: int = 6, rate: float = 0.25, decay: float =
     return model
 
 
-def train(docs: DataFrame, sample: int = 300, around: int = 400, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on at most ``sample`` documents that hold a digit pair or an at sign, the first by a hash of the id.
+def _marked_regions(docs: DataFrame, h, text_col: str) -> DataFrame:
+    """(h, at, text, spans) of every region of every document, whole, with the spans of the fixed rules inside it."""
+    schema = "h long, at int, text string, spans array<struct<kind:string,start:int,stop:int>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
+        for batch in batches:
+            for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = value.as_py()
+                base = base_spans(text)
+                rows = [(key, lo, text[lo:hi], [{"kind": k, "start": a - lo, "stop": b - lo} for k, a, b in base if lo <= a and b <= hi]) for lo, hi in regions(text)]
+                cols = zip(*rows, strict=True) if rows else [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), x) for c, x in zip(cols, (pa.int64(), pa.int32(), pa.string(), t), strict=True)], names=["h", "at", "text", "spans"])
+
+    return docs.where(F.col(text_col).rlike(r"@|[0-9]{2}")).select(h.alias("h"), text_col).mapInArrow(run, schema)
 
-    Only the neighbourhood of what could be personal data comes to the driver, at most ``around`` characters a document.
-    Texts are looked at from the lowest hashes on, in shares that grow until the sample is full or every document was
-    seen, so neither the reading nor what the tasks return grows with the table.
+
+def train(docs: DataFrame, sample: int = 600, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Fit on at most ``sample`` regions, whole, of documents that hold a digit pair or an at sign.
+
+    Regions go by a hash of the document's id and by their place. Documents are looked at from the lowest hashes on, in
+    shares that grow until the sample is full or every document was seen, so neither the reading nor what the tasks return
+    grows with the table. Null texts have no region; repeated rows, and rows without id, give theirs each; equal ones may
+    swap places, which changes nothing. An empty table gives a model that finds nothing. Other columns are ignored.
     """
     h, n, share = F.xxhash64(id_col, F.lit(13)), docs.count(), 0.0
-    part = F.regexp_extract(text_col, rf"(?s).{{0,40}}(?:@|[0-9]{{2}}).{{0,{around - 42}}}", 0)
     rows = []
     while share < 1 and len(rows) < sample:
-        share = min(1.0, 16 * (share or 4 * sample / max(1, n)))
+        share = min(1.0, 16 * (share or sample / max(1, n)))
         low = docs.where(h < int(share * 2**64) - 2**63) if share < 1 else docs
-        t = low.where(F.col(text_col).rlike(r"@|[0-9]{2}"))
-        rows = t.select(h.alias("h"), part.alias("t")).orderBy("h", "t").limit(sample).collect()
-    return fit([r["t"] for r in rows])
+        rows = _marked_regions(low, h, text_col).orderBy("h", "at", "text").limit(sample).collect()
+    return fit([(r["text"], [tuple(x) for x in r["spans"]]) for r in rows])
 
 
 def find(text: str | None, model: Model) -> tuple[list[Span], list[Span]]:
@@ -356,7 +366,3 @@ def masked(text: str, spans: list[Span]) -> str:
             out += [text[at:a], f"<{k}>"]
             at = b
     return "".join([*out, text[at:]])
-
-
-def digest(spans: list[Span]) -> str:
-    return hashlib.sha256(joined(spans).encode()).hexdigest()

@@ -70,6 +70,23 @@ class Model:
     bits: int
 
 
+def tail_probabilities(f: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """[rows, cuts]: the probability of a grade above each cut."""
+    return 1 / (1 + np.exp(-np.clip(f[:, None] - cuts, -40, 40)))
+
+
+def loss_and_slopes(f: np.ndarray, cuts: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Negative log likelihood of the grades ``y``, and its slopes by each row's score and by each cut."""
+    r = np.arange(len(y))
+    above = np.column_stack([np.ones(len(y)), tail_probabilities(f, cuts), np.zeros(len(y))])
+    p = np.maximum(above[r, y] - above[r, y + 1], 1e-9)
+    slope = above * (1 - above)
+    dc = np.zeros(len(cuts) + 2)
+    np.add.at(dc, y, slope[r, y] / p)
+    np.add.at(dc, y + 1, -slope[r, y + 1] / p)
+    return float(-np.log(p).sum()), -(slope[r, y] - slope[r, y + 1]) / p, dc[1:-1]
+
+
 def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, bits: int = 18, epochs: int = 200, rate: float = 0.08, decay: float = 1e-5) -> Model:
     """Maximum likelihood by full-batch Adam. The first cut and the logarithms of the gaps are the free parameters, which
     keeps the thresholds in order."""
@@ -81,27 +98,14 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, bits: int =
     idx, val = np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows]).astype(float)
     lens = np.array([len(r[1]) for r in rows])
     starts, owner = np.concatenate(([0], np.cumsum(lens)[:-1])), np.repeat(np.arange(len(rows)), lens)
-    share = np.bincount(y, minlength=grades) / len(y)
-    weight = 1 / np.sqrt(np.maximum(share, 1e-3))[y]
-    weight /= weight.sum()
+    weight = 1 / len(y)  # every rating counts the same, so that the probabilities are those of the ratings
     params = [w, first, gaps]
     mom, var = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
 
-    def sig(z):
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-
     for t in range(1, epochs + 1):
         cuts = first[0] + np.concatenate(([0.0], np.cumsum(np.exp(gaps))))
-        f = np.add.reduceat(w[idx] * val, starts)
-        above = np.column_stack([np.ones(len(y)), sig(f[:, None] - cuts), np.zeros(len(y))])  # P(grade >= k)
-        r = np.arange(len(y))
-        p = np.maximum(above[r, y] - above[r, y + 1], 1e-9)
-        slope = above * (1 - above)
-        df = -weight * (slope[r, y] - slope[r, y + 1]) / p
-        dc = np.zeros(grades + 1)
-        np.add.at(dc, y, weight * slope[r, y] / p)
-        np.add.at(dc, y + 1, -weight * slope[r, y + 1] / p)
-        dc = dc[1:grades]
+        _, df, dc = loss_and_slopes(np.add.reduceat(w[idx] * val, starts), cuts, y)
+        df, dc = weight * df, weight * dc
         g = [np.bincount(idx, weights=df[owner] * val, minlength=dims) + decay * w, np.array([dc.sum()]), np.array([dc[j + 1 :].sum() * np.exp(gaps[j]) for j in range(len(gaps))])]
         for i, (q, d) in enumerate(zip(params, g, strict=True)):
             mom[i] = 0.9 * mom[i] + 0.1 * d
@@ -112,8 +116,10 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, bits: int =
 
 def train(docs: DataFrame, ratings: DataFrame, grades: int = 3, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", sample: int = 12_000, bits: int = 18) -> Model:
     """Fit on at most about ``sample`` rated documents, chosen by a hash of the id. Ratings are (id, grade from 0 on);
-    null ids or grades are left out, and of several ratings of a document the lowest counts. The chosen ratings, whose
-    number is bounded, are broadcast, so that no text is shuffled."""
+    null ids or grades are left out, and of several ratings of a document the lowest counts. Each row of a document that is
+    repeated is a sample of its own. The model is the same whatever order the rows come in. Without a rating every
+    document gets the same grade. Other columns are ignored. The chosen ratings, whose number is bounded, are broadcast, so
+    that no text is shuffled."""
     r = ratings.where(F.col(id_col).isNotNull() & F.col(grade_col).isNotNull()).groupBy(F.col(id_col).alias("_rid")).agg(F.min(grade_col).cast("int").alias("_g"))
     n = r.count()
     if n > sample:
@@ -154,7 +160,7 @@ def grade(docs: DataFrame, model: Model, text_col: str = "text", min_grade: floa
                 text = t.as_py()
                 i, v = features(text, model.bits)
                 f[j], blank[j] = float(w[i] @ v), not (text or "").strip()
-            p = 1 / (1 + np.exp(-np.clip(f[:, None] - cuts, -40, 40)))
+            p = tail_probabilities(f, cuts)
             mean = p.sum(axis=1)
             kept = (mean >= min_grade) & (p[:, -1] >= min_tail) & ~blank
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(mean), *[pa.array(p[:, i].copy()) for i in range(k)], pa.array(kept)], names=schema.names)

@@ -52,40 +52,38 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def _bucket_links(fps: np.ndarray, where: int, half: int, max_bits: int) -> list[tuple[int, int]]:
     """Links that connect whatever the links inside one bucket connect: at most one less than it has members.
 
-    Works in blocks of rows of the distance matrix, so memory stays small. A pair whose segment is equal meets in every
-    wildcard bucket; it counts in the first one only.
+    A search in breadth: each fingerprint is compared once, with those that no tree holds yet. A pair whose segment is
+    equal meets in every wildcard bucket; it counts in the first one only.
     """
-    n = len(fps)
-    parent = np.arange(n)
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    out = []
+    out: list[tuple[int, int]] = []
     bit = (fps >> np.uint64(where + HALF * half)) & np.uint64(1)
-    for i in range(n - 1):
-        near = np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= max_bits
-        if where:
-            near &= bit[i + 1 :] != bit[i]
-        for j in np.nonzero(near)[0] + i + 1:
-            a, b = root(i), root(int(j))
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                out.append((int(fps[i]), int(fps[j])))
+    if where and (bit == bit[0]).all():
+        return out
+    left = np.arange(len(fps))
+    while len(left):
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            i = queue.pop()
+            near = np.bitwise_count(fps[left] ^ fps[i]) <= max_bits
+            if where:
+                near &= bit[left] != bit[i]
+            if near.any():
+                met = left[near]
+                out += [(int(fps[i]), int(fps[j])) for j in met]
+                queue += met.tolist()
+                left = left[~near]
     return out
 
 
-def near_links(prints: DataFrame, scratch: Scratch, max_bits: int = 3, bucket: int = 4096) -> DataFrame:
+def near_links(prints: DataFrame, scratch: Scratch, max_bits: int = 3, bucket: int = 512, work: int = 1 << 26) -> DataFrame:
     """Links (a, b) between distinct fingerprints that connect all those at ``max_bits`` (3 at most) or fewer bits.
 
     Two fingerprints that differ in at most three bits differ in at most one bit of one of their two halves. Each half is
-    indexed 32 times, each time with another bit wiped out; equal variants meet. Buckets of two are verified by built-in
-    functions; larger ones in a task each, that returns a spanning forest and never all pairs. A bucket above ``bucket``
-    members is indexed once more by variants of the other half, whose 16-bit quarters are treated alike: at most 2^18
-    fingerprints can then share a bucket, whatever the data.
+    indexed 32 times, each time with another bit wiped out; equal variants meet. Buckets of two and three are verified by
+    built-in functions; larger ones in tasks dealt by the comparisons they take (about ``work`` each), that return a
+    spanning forest and never all pairs. Where a bucket has more than ``bucket`` members, comparing variants of the other
+    half, whose 16-bit quarters are treated alike, costs less than comparing members: they are indexed once more, and at
+    most 2^18 fingerprints can then share a bucket, whatever the data. Both ways give the same components.
     """
     if not 0 <= max_bits <= 3:
         raise ValueError("two halves hold for 0 to 3 bits")
@@ -97,12 +95,18 @@ def near_links(prints: DataFrame, scratch: Scratch, max_bits: int = 3, bucket: i
         return F.lit((half * HALF + bit) << 32).bitwiseOR(wiped)
 
     index = prints.select("fp", F.explode(F.array(*[variant(h, b) for h in (0, 1) for b in range(HALF)])).alias("key"))
-    counted = index.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
+    counted = index.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"), F.bit_xor("fp").alias("x")).where("n > 1")
     counted = scratch.save(counted, "buckets")
-    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
-    twos = counted.where("n = 2").where(apart).select("a", "b")
-    full = index.join(counted.where("n > 2").select("key", "n"), "key")
-    full = scratch.save(full.select("key", "n", "fp"), "full")
+    third = F.col("a").bitwiseXOR(F.col("b")).bitwiseXOR(F.col("x"))
+
+    def apart(a, b):
+        return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= max_bits
+
+    threes = counted.where("n = 3").select("a", "b", third.alias("c"))
+    few = counted.where("n = 2").select("a", "b").unionByName(threes.select("a", "b"))
+    few = few.unionByName(threes.select("a", F.col("c").alias("b"))).unionByName(threes.select("b", F.col("c").alias("a"))).where(apart("a", "b"))
+    many = counted.where("n > 3").select("key", "n")
+    full = scratch.save(index.join(many, "key").select("key", "n", "fp"), "full")
 
     second = []
     for quarter in (0, 1):
@@ -119,8 +123,10 @@ def near_links(prints: DataFrame, scratch: Scratch, max_bits: int = 3, bucket: i
         links = np.array(_bucket_links(fps, at % HALF, at // HALF, max_bits), dtype=np.uint64).reshape(-1, 2).view(np.int64)
         return pd.DataFrame({"a": links[:, 0], "b": links[:, 1]})
 
-    dense = small.unionByName(large).groupBy("sub").applyInPandas(forest, "a long, b long")
-    return scratch.save(twos.unionByName(dense).distinct(), "links")
+    cost = many.agg(F.sum(F.least("n", F.lit(bucket)).cast("double") * F.col("n") * F.when(F.col("n") > bucket, 32).otherwise(1))).first()[0] or 0
+    tasks = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(cost / work) + 1)
+    dense = small.unionByName(large).repartition(tasks, "sub").groupBy("sub").applyInPandas(forest, "a long, b long")
+    return scratch.save(few.unionByName(dense).distinct(), "links")
 
 
 def simhash_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
@@ -149,3 +155,115 @@ def drop_near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_i
     groups = simhash_groups(docs, scratch, id_col, text_col, shingle, max_bits)
     gone = scratch.save(groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct(), "gone")
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+
+
+# --- similar texts: wide fingerprints, of which some segments are indexed
+
+LANES = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], dtype=np.uint64)
+
+
+def _lanes(hashes: np.ndarray, words: int) -> np.ndarray:
+    """[shingles, words]: independent 64-bit values of each shingle, mixed from its hash."""
+    h = hashes[:, None] + np.arange(1, words + 1, dtype=np.uint64)[None, :] * LANES[0]
+    h = (h ^ (h >> np.uint64(30))) * LANES[1]
+    h = (h ^ (h >> np.uint64(27))) * LANES[2]
+    return (h ^ (h >> np.uint64(31))) * LANES[3]
+
+
+def wide_fingerprint(text: str | None, words: int, shingle: int = 5, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint of ``words`` 64-bit words, how far each bit is from tipping over). A bit is 1 if it is set for over
+    half the distinct shingles; a text without words has none set."""
+    got = (text or "").encode("utf-8").lower().split()
+    if not got:
+        return np.zeros(words, dtype=np.uint64), np.zeros(words * 64, dtype=np.int32)
+    rolled = [b" ".join(got)] if len(got) < shingle else map(b" ".join, zip(*(got[i:] for i in range(shingle)), strict=False))
+    of = xxhash.xxh64_intdigest
+    hashes = np.unique(np.fromiter((of(s, seed) for s in rolled), dtype=np.uint64))
+    ones = np.zeros(words * 64, dtype=np.int32)
+    for i in range(0, len(hashes), 255):  # a byte holds the sum of 255 bits
+        lanes = np.ascontiguousarray(_lanes(hashes[i : i + 255], words)).view(np.uint8)
+        ones += np.unpackbits(lanes, axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    tip = 2 * ones - len(hashes)
+    return np.packbits(tip > 0, bitorder="little").view(np.uint64), np.abs(tip)
+
+
+def differing_share(similarity: float) -> float:
+    """Expected share of differing bits of two texts whose shingle sets of equal size have this Jaccard similarity."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def wide_plan(n: int, similarity: float, recall: float, wipe: int) -> tuple[int, int, int]:
+    """(words, width, most differing bits) for ``n`` documents.
+
+    A segment is the low ``width`` bits of half a word; its width keeps unrelated documents apart, so that a bucket holds
+    a few hundredths of one by chance at any ``n``. The number of segments follows from the odds that one of them differs
+    in at most one bit (of two that differ in one, three in four are taken to wipe out that bit). Two fingerprints are
+    near when they differ in no more bits than 97.7% of the pairs at ``similarity`` do.
+    """
+    width = int(min(32, max(16, np.ceil(np.log2(max(2, n))) + 6)))
+    p = differing_share(similarity)
+    meet = (1 - p) ** width + 0.75 * (wipe / max(wipe, 4)) * width * p * (1 - p) ** (width - 1)
+    words = int(np.ceil(np.log(1 - recall) / np.log(1 - meet) / 2))
+    words = max(words, 16)  # fewer bits would tell similarities apart less well
+    return words, width, int(np.ceil(64 * words * p + 2 * np.sqrt(64 * words * p * (1 - p))))
+
+
+def wide_index(docs: DataFrame, words: int, width: int, wipe: int = 4, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """(id, fp, keys): the fingerprint and its deletion variants: each segment with one of its ``wipe`` bits that are next
+    to tipping over wiped out, as a long of segment, place and value."""
+    at = np.arange(2 * words)
+    take = (at[:, None] // 2 * 64 + at[:, None] % 2 * 32) + np.arange(width)[None, :]
+    mask = np.uint64((1 << width) - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                fps = np.zeros((part.num_rows, words), dtype=np.uint64)
+                keys = np.zeros((part.num_rows, 2 * words, wipe), dtype=np.uint64)
+                for r, t in enumerate(part.column(1)):
+                    fps[r], tip = wide_fingerprint(t.as_py(), words, shingle)
+                    weak = np.argsort(tip[take], axis=1, kind="stable")[:, :wipe].astype(np.uint64)
+                    value = np.column_stack((fps[r] & mask, (fps[r] >> np.uint64(32)) & mask)).ravel()
+                    keys[r] = (at.astype(np.uint64)[:, None] << np.uint64(38)) | (weak << np.uint64(32)) | (value[:, None] & ~(np.uint64(1) << weak))
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x[0].size, dtype=np.int32)), pa.array(x.view(np.int64).ravel())) for x in (fps, keys)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *lists], names=["id", "fp", "keys"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, fp array<long>, keys array<long>")
+
+
+def similar_links(docs: DataFrame, scratch: Scratch, similarity: float = 0.8, recall: float = 0.95, wipe: int = 4, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """Links (a, b) of ids of documents whose wide fingerprints are as near as those of texts of this similarity.
+
+    Variants meet by equality. Every member of a bucket is verified against two members of it, picked by a hash anew for
+    each bucket, so a bucket of any size costs two rows a member, and never all pairs; the members of a group meet other
+    members in other buckets. Rows without id take no part.
+    """
+    docs = docs.where(F.col(id_col).isNotNull())
+    n = docs.count()
+    words, width, most = wide_plan(n, similarity, recall, wipe)
+    prints = scratch.save(wide_index(docs, words, width, wipe, id_col, text_col, shingle), "wide")
+    index = prints.select("id", F.explode("keys").alias("key"))
+    by = F.struct(F.xxhash64("key", "id"), "id")
+    counted = index.groupBy("key").agg(F.count("*").alias("n"), F.min(by)["id"].alias("a"), F.max(by)["id"].alias("b")).where("a <> b")
+    counted = scratch.save(counted, "wide-buckets")
+    twos = counted.select("a", "b")
+    many = index.join(counted.where("n > 2").select("key", "a", "b"), "key").select(F.col("id").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b")
+    pairs = twos.unionByName(many).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    fps = prints.groupBy("id").agg(F.first("fp").alias("fp"))
+    met = scratch.save(pairs, "wide-pairs").join(fps.select(F.col("id").alias("a"), F.col("fp").alias("x")), "a").join(fps.select(F.col("id").alias("b"), F.col("fp").alias("y")), "b")
+    differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
+    return scratch.save(met.where(differ <= most).select("a", "b"), "wide-links")
+
+
+def drop_similar(docs: DataFrame, scratch: Scratch, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, **options) -> DataFrame:
+    """The rows of ``docs``, with all their columns, but for documents that are linked, directly or over others, to one of
+    a smaller id by a similarity of five-word shingles of ``similarity`` or more.
+
+    Similarity is told by wide fingerprints (see :func:`wide_plan`), whatever the texts' length; texts without words are
+    all alike. Of rows that repeat an id all stay or none does. Rows without id stay. An empty table stays empty. Only ids
+    travel to the rows.
+    """
+    comp = components(similar_links(docs, scratch, similarity, id_col=id_col, text_col=text_col, shingle=shingle, **options), scratch)
+    gone = scratch.save(comp.where("node <> component").select(F.col("node").alias("_gone")), "wide-gone")
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

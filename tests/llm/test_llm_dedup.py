@@ -41,9 +41,11 @@ def test_components(spark, scratch, shape):
 ODD = [(1, "Same"), (2, "sAME"), (3, "same "), (4, None), (5, ""), (6, "É"), (7, "é"), (8, "x" * 100_000), (9, "X" * 100_000), (10, "x" * 99_999 + "y"), (2, "sAME"), (11, "unique"), (None, "same")]
 
 
-@pytest.mark.parametrize("broadcast", [2_000_000, 0])
-def test_exact_dedup(spark, scratch, monkeypatch, broadcast):
-    monkeypatch.setattr(exact_dedup, "BROADCAST_KEYS", broadcast)
+@pytest.mark.parametrize("bits", [None, 64])
+def test_exact_dedup(spark, scratch, monkeypatch, bits):
+    if bits:  # maps in which nearly everything collides change nothing
+        monkeypatch.setattr(exact_dedup, "LENGTH_BITS", bits)
+        monkeypatch.setattr(exact_dedup, "PREFIX_BITS", bits)
     docs = spark.createDataFrame([(i, t, 1, True) for i, t in ODD], "doc_id long, text string, keep_id long, kept boolean")
     got = exact_dedup.exact_dedup(docs, scratch).collect()
     groups = defaultdict(list)
@@ -57,6 +59,17 @@ def test_exact_dedup(spark, scratch, monkeypatch, broadcast):
     assert exact_dedup.exact_dedup(docs.limit(0), scratch).count() == 0
 
 
+def test_each_step_of_exact_dedup_reads_what_the_one_before_left(spark, scratch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = [(r["text"] or "") for r in docs.collect()]
+    sizes = Counter(len(t.encode()) for t in texts)
+    heads = Counter((len(t.encode()), t[:256].translate(ASCII)) for t in texts)
+    step = exact_dedup.Refinement(docs, "text", 256, scratch)
+    lengths, prefixes, full = docs.select(step.alike_length.alias("a"), step.alike_prefix.alias("b"), step.full.alias("c")).selectExpr("count_if(a)", "count_if(b)", "count(c)").first()
+    assert lengths == sum(n for n in sizes.values() if n > 1) < len(texts)
+    assert prefixes == full == sum(n for n in heads.values() if n > 1) < lengths
+
+
 def brute_fingerprint(text, k=3):
     words = [w for w in "".join(c if c not in " \t\n\x0b\x0c\r" else " " for c in (text or "").translate(ASCII)).split(" ") if w]
     grams = [" ".join(words[i : i + k]) for i in range(len(words) - k + 1)] if len(words) >= k else ([" ".join(words)] if words else [])
@@ -81,7 +94,7 @@ def test_simhash_on_documents(spark):
     assert {i: r["component_id"] for i, r in got.items()} == brute_groups(prints)
 
 
-@pytest.mark.parametrize("bucket", [4096, 4])
+@pytest.mark.parametrize("bucket", [512, 16])
 def test_simhash_links_connect_what_brute_force_connects(spark, scratch, bucket):
     rng = random.Random(4)
     prints = set()
@@ -110,6 +123,42 @@ def test_simhash_edge_cases(spark, scratch):
     assert simhash.simhash_groups(docs.limit(0), scratch).count() == 0
 
 
+def test_similar_texts_against_brute_force(spark, scratch):
+    """Of the pairs of texts whose five-word shingles are alike by 0.8 or more nearly all share a group; no group joins
+    texts that are not alike."""
+    rows, rng, vocabulary = [], random.Random(6), [f"w{i}" for i in range(3000)]
+    for g in range(60):
+        base = rng.choices(vocabulary, k=rng.choice([60, 150, 600]))
+        for c in range(3 if g else 200):
+            text = list(base)
+            for _ in range(max(1, len(base) // 100)):
+                text[rng.randrange(len(text))] = rng.choice(vocabulary)
+            rows.append((100_000 + 1000 * g + c, " ".join(text)))
+    rows += [(1, "A b"), (2, "a B"), (3, None), (4, ""), (5, " "), (6, "long " * 100_000), (7, "LONG " * 100_000), (8, "a b c d e f"), (8, "q r s t u v"), (None, "a b c d e f"), (None, None)]
+    df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, fp long")
+    held = {r["doc_id"]: r["text"] for r in df.where("doc_id >= 100000").collect()}
+    grams = {i: frozenset(zip(*(t.split()[k:] for k in range(5)), strict=False)) for i, t in held.items()}
+    pairs = [(a, b) for a in grams for b in grams if a < b and a // 1000 == b // 1000 and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])]
+    comp = {r["node"]: r["component"] for r in components(simhash.similar_links(df, scratch), scratch).collect()}
+    together = sum(comp.get(a, a) == comp.get(b, b) for a, b in pairs)
+    assert len(pairs) > 1000 and together >= 0.95 * len(pairs)
+    assert all(i // 1000 == c // 1000 for i, c in comp.items() if i >= 100_000)
+    stay = Counter(r["doc_id"] for r in simhash.drop_similar(df, scratch).collect() if r["doc_id"] is None or r["doc_id"] < 9)
+    assert stay == Counter({None: 2, 1: 1, 3: 1, 6: 1, 8: 2})
+    assert simhash.drop_similar(df.limit(0), scratch).count() == 0
+
+
+@pytest.mark.parametrize(("text", "words"), [("a b c d e f g a b c d e", 16), ("x", 16), ("é " * 600 + "tail", 17)])
+def test_wide_fingerprints_are_majorities_over_distinct_shingles(text, words):
+    got, tip = simhash.wide_fingerprint(text, words)
+    t = text.split()
+    grams = {" ".join(t[i : i + 5]) for i in range(max(1, len(t) - 4))}
+    lanes = simhash._lanes(np.array([xxhash.xxh64_intdigest(g.encode(), 42) for g in grams], dtype=np.uint64), words)
+    ones = [sum(int(row[b // 64]) >> (b % 64) & 1 for row in lanes) for b in range(64 * words)]
+    assert [int(got[b // 64]) >> (b % 64) & 1 for b in range(64 * words)] == [2 * o > len(grams) for o in ones]
+    assert tip.tolist() == [abs(2 * o - len(grams)) for o in ones]
+
+
 def brute_vectors(rows):
     good = {i: np.array(v, dtype=float) for i, v in rows.items() if v and None not in v and np.isfinite(v).all() and np.any(v)}
     links = [(a, b) for a in good for b in good if a < b and len(good[a]) == len(good[b]) and good[a] @ good[b] / np.linalg.norm(good[a]) / np.linalg.norm(good[b]) >= 0.9]
@@ -175,7 +224,6 @@ def mixed(df, scratch):
 def test_mixing_on_documents(spark, scratch):
     rows, taken, want = mixed(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), scratch)
     assert len(rows) == 1000 and all(abs(taken[s] - want[s]) <= 0.01 * want[s] + 10 for s in want)
-    # larger documents are tilted one way, evenly: within a source the mean rate follows the size
     again, *_ = mixed(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(7), scratch)
     assert {(r["doc_id"], r["copies"]) for r in rows} == {(r["doc_id"], r["copies"]) for r in again}
 
@@ -190,6 +238,43 @@ def test_mixing_edge_cases(spark, scratch):
     assert mixing.mix(df.limit(0), scratch).count() == 0 and mixing.take_mix(df.limit(0), scratch).count() == 0
 
 
+def test_mixing_rates_are_the_tilt_of_a_plain_dual_solution(spark, scratch):
+    rng = random.Random(5)
+    rows = [(i, "abcd"[i % 4], rng.randint(1, 400)) for i in range(8000)]  # a and d are full, b and c tilted up and down
+    df = spark.createDataFrame([(i, s, "w " * n) for i, s, n in rows], "doc_id long, source string, text string")
+    got, _, want = mixed(df, scratch)
+    copies = {r["doc_id"]: r["copies"] for r in got}
+    for source in "bc":
+        sizes = np.array([n for _, s, n in rows if s == source], dtype=float)
+        taken = np.array([copies[i] for i, s, _ in rows if s == source])
+        mean, lo, hi = (sizes**2).sum() / sizes.sum(), -50.0, 50.0
+        for _ in range(200):
+            tilt = (lo + hi) / 2
+            lo, hi = (tilt, hi) if (sizes * np.minimum(2, np.exp(tilt * sizes / mean))).sum() < want[source] else (lo, tilt)
+        rate = np.minimum(2, np.exp(tilt * sizes / mean))
+        for a in range(0, 400, 50):
+            inside = (sizes > a) & (sizes <= a + 50)
+            assert abs(taken[inside].mean() - rate[inside].mean()) < 0.03
+        assert abs(tilt) > 0.01
+
+
+def test_mixing_tells_when_a_tilt_is_not_found(spark, scratch):
+    df = spark.createDataFrame([(i, "ab"[i % 2], "w " * (1 + i % 50)) for i in range(200)], "doc_id long, source string, text string")
+    hist = df.selectExpr("source", "cast(1 + doc_id % 50 as long) as size").groupBy("source", "size").count().withColumnRenamed("count", "n")
+    sources = mixing._targets(hist, (5, 2, 1), 1.5, 2.0)
+    with pytest.raises(RuntimeError, match="tilt"):
+        mixing._solve(hist, sources, 2.0, scratch, tol=0.0, rounds=2)
+
+
+def test_taking_repeated_rows_gives_the_copies_of_the_mix(spark, scratch):
+    rows = [(7, "a", "w w w")] * 6 + [(i, "a", "w " * (1 + i % 5)) for i in range(100, 140)] + [(i, "b", "w " * 9) for i in range(200, 260)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    want = Counter()
+    for r in mixing.mix(df, scratch).collect():
+        want[r["doc_id"]] += r["copies"]
+    assert Counter(r["doc_id"] for r in mixing.take_mix(df, scratch).collect()) == +want
+
+
 def brute_chat(rows):
     convs = defaultdict(set)
     for c, t, r, x in rows:
