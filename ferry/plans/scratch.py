@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that all executors share.
 
 ``spark.checkpoint.dir`` names that folder. A table written there cuts the lineage and outlives a lost executor. Where
-the setting is absent (tests on one machine) a temporary folder of the driver takes its place.
+the setting is absent (tests on one machine) a temporary folder of the driver takes its place; on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ def shared_folder(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="ferry-")
@@ -35,9 +37,9 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         """Write ``df`` and return it reread, with the schema it had."""
-        df.write.mode("overwrite").parquet(self.path(name))
+        df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
