@@ -36,17 +36,19 @@ def pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 1024,
     """Token pieces: (doc_id, piece, start, length, ids_crc32[, ids]).
 
     A document is its token ids and then ``end_id``; null text has none but that. Longer documents are cut into pieces of
-    ``capacity`` tokens, the first of which may be shorter.
+    ``capacity`` tokens, the first of which may be shorter. ``ids`` are little-endian numbers of 16 bits, or of 32 where the
+    vocabulary or the end needs them: of as many bytes as ``ids`` has for each of its ``length`` tokens.
     """
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path, pattern)
+        small = "<u2" if max(enc.max_token_value, end_id) < 1 << 16 else "<u4"
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 rows: list[tuple[int | None, int, int, int, int]] = []
-                held: list[np.ndarray] = []
+                held: list[bytes] = []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     ids = enc.encode(text.as_py() or "", allowed_special="all")
                     ids.append(end_id)
@@ -54,13 +56,13 @@ def pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 1024,
                     n = -(-len(ids) // capacity)
                     cuts = [0, *range(len(ids) - (n - 1) * capacity, len(ids) + 1, capacity)]
                     rows += [(doc, k, a, b - a, zlib.crc32(whole[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
-                    held.append(whole)
+                    if keep_ids:
+                        held += [whole[a:b].astype(small).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)]
                 if keep_ids:
-                    ends = np.concatenate(([0], np.cumsum([r[3] for r in rows], dtype=np.int64))).astype(np.int32)
-                    cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held or [np.zeros(0, dtype="<u4")]).astype(np.int32))))
+                    cols.append(pa.array(held, pa.binary()))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
@@ -218,7 +220,7 @@ def pack(items: DataFrame, scratch: Scratch, capacity: int = 1024, groups: int =
     packed each; an empty table gives an empty result.
     """
     columns = items.columns
-    items = scratch.save(_numbered(items), "pieces")
+    items = scratch.save(_numbered(items), "pieces", compression="zstd")
     counts = scratch.save(items.groupBy("length", "_task").agg(F.count("*").alias("_k")), "counts")
     histogram = {int(r[0]): int(r[1]) for r in counts.groupBy("length").agg(F.sum("_k")).collect()}
     firsts: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
@@ -258,10 +260,19 @@ def sequences(packed: DataFrame) -> DataFrame:
 
     A sequence holds at most the capacity, so its group is bounded; its pieces stand in order of their offset.
     """
-    held = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "doc_id", "piece", "ids"))).alias("_h"))
+    held = packed.select("sequence_id", F.struct("offset", "doc_id", "piece", "length", "ids").alias("_p")).groupBy("sequence_id").agg(F.array_sort(F.collect_list("_p")).alias("_h"))
 
     def each(name):
         return F.transform("_h", lambda x: x[name])
 
-    ids = F.flatten(each("ids"))
-    return held.select("sequence_id", F.size(ids).alias("length"), ids.alias("ids"), each("doc_id").alias("doc_ids"), each("piece").alias("pieces"), each("offset").alias("offsets"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts, lengths = batch.column(1), batch.column(2)
+            flat = [np.frombuffer(p.as_py(), dtype=f"<u{len(p.as_py()) // n.as_py()}").astype(np.int32) for p, n in zip(parts.flatten(), lengths.flatten(), strict=True)]
+            tokens = np.array([len(x) for x in flat], dtype=np.int64)
+            ends = np.concatenate(([0], np.cumsum(tokens)))[parts.offsets.to_numpy() - parts.offsets[0].as_py()].astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat) if flat else np.zeros(0, dtype=np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids.value_lengths(), ids, *batch.columns[3:]], names=["sequence_id", "length", "ids", "doc_ids", "pieces", "offsets"])
+
+    rows = held.select("sequence_id", *[each(c).alias(c) for c in ("ids", "length", "doc_id", "piece", "offset")])
+    return rows.mapInArrow(run, "sequence_id long, length int, ids array<int>, doc_ids array<long>, pieces array<int>, offsets array<long>")

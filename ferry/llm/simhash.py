@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferry.llm.components import components
@@ -195,12 +195,12 @@ def differing_share(similarity: float) -> float:
 def wide_plan(n: int, similarity: float, recall: float, wipe: int) -> tuple[int, int, int]:
     """(words, width, most differing bits) for ``n`` documents.
 
-    A segment is the low ``width`` bits of half a word; its width keeps unrelated documents apart, so that a bucket holds
-    a few hundredths of one by chance at any ``n``. The number of segments follows from the odds that one of them differs
+    A segment is the low ``width`` bits of half a word: 26, which keeps unrelated documents apart up to 2^24 documents, and
+    more beyond, so that a bucket holds less than one by chance. The number of segments follows from the odds that one of them differs
     in at most one bit (of two that differ in one, three in four are taken to wipe out that bit). Two fingerprints are
     near when they differ in no more bits than 97.7% of the pairs at ``similarity`` do.
     """
-    width = int(min(32, max(16, np.ceil(np.log2(max(2, n))) + 6)))
+    width = int(min(32, max(26, np.ceil(np.log2(max(2, n))) + 2)))
     p = differing_share(similarity)
     meet = (1 - p) ** width + 0.75 * (wipe / max(wipe, 4)) * width * p * (1 - p) ** (width - 1)
     words = int(np.ceil(np.log(1 - recall) / np.log(1 - meet) / 2))
@@ -209,49 +209,64 @@ def wide_plan(n: int, similarity: float, recall: float, wipe: int) -> tuple[int,
 
 
 def wide_index(docs: DataFrame, words: int, width: int, wipe: int = 4, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """(id, fp, keys): the fingerprint and its deletion variants: each segment with one of its ``wipe`` bits that are next
-    to tipping over wiped out, as a long of segment, place and value."""
+    """(id, fp, weak): the fingerprint, and the places of the ``wipe`` bits of each segment that are next to tipping over,
+    a byte each."""
     at = np.arange(2 * words)
     take = (at[:, None] // 2 * 64 + at[:, None] % 2 * 32) + np.arange(width)[None, :]
-    mask = np.uint64((1 << width) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 fps = np.zeros((part.num_rows, words), dtype=np.uint64)
-                keys = np.zeros((part.num_rows, 2 * words, wipe), dtype=np.uint64)
+                weak = np.zeros((part.num_rows, 2 * words, wipe), dtype=np.int8)
                 for r, t in enumerate(part.column(1)):
                     fps[r], tip = wide_fingerprint(t.as_py(), words, shingle)
-                    weak = np.argsort(tip[take], axis=1, kind="stable")[:, :wipe].astype(np.uint64)
-                    value = np.column_stack((fps[r] & mask, (fps[r] >> np.uint64(32)) & mask)).ravel()
-                    keys[r] = (at.astype(np.uint64)[:, None] << np.uint64(38)) | (weak << np.uint64(32)) | (value[:, None] & ~(np.uint64(1) << weak))
-                lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x[0].size, dtype=np.int32)), pa.array(x.view(np.int64).ravel())) for x in (fps, keys)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *lists], names=["id", "fp", "keys"])
+                    weak[r] = np.argsort(tip[take], axis=1, kind="stable")[:, :wipe]
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x[0].size, dtype=np.int32)), pa.array(x.ravel())) for x in (fps.view(np.int64), weak)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *lists], names=["id", "fp", "weak"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, fp array<long>, keys array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, fp array<long>, weak array<byte>")
 
 
-def similar_links(docs: DataFrame, scratch: Scratch, similarity: float = 0.8, recall: float = 0.95, wipe: int = 4, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+def _turned(x: Column, by: int) -> Column:
+    return F.shiftrightunsigned(x, by).bitwiseOR(F.shiftleft(x, 64 - by))
+
+
+def wide_variants(prints: DataFrame, width: int, wipe: int) -> DataFrame:
+    """(id, key): the deletion variants of a fingerprint: each segment with one of its weak bits wiped out, as a long of
+    segment, place and value."""
+    v = prints.select("id", "fp", F.posexplode("weak").alias("i", "bit"))
+    v = v.select("id", F.floor(F.col("i") / wipe).cast("int").alias("seg"), F.col("bit").cast("int").alias("bit"), "fp")
+    word = F.get("fp", F.floor(F.col("seg") / 2).cast("int"))
+    value = F.when(F.col("seg") % 2 == 1, F.shiftrightunsigned(word, 32)).otherwise(word).bitwiseAND(F.lit((1 << width) - 1))
+    place = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
+    head = F.shiftleft(F.col("seg").cast("long"), 38).bitwiseOR(F.shiftleft(F.col("bit").cast("long"), 32))
+    return v.select("id", head.bitwiseOR(value.bitwiseAND(F.bitwise_not(place))).alias("key"))
+
+
+def similar_links(docs: DataFrame, scratch: Scratch, similarity: float = 0.8, recall: float = 0.9, wipe: int = 4, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """Links (a, b) of ids of documents whose wide fingerprints are as near as those of texts of this similarity.
 
-    Variants meet by equality. Every member of a bucket is verified against two members of it, picked by a hash anew for
-    each bucket, so a bucket of any size costs two rows a member, and never all pairs; the members of a group meet other
-    members in other buckets. Rows without id take no part.
+    Variants meet by equality. Every member of a bucket is verified against two members of it, the first and the last in
+    an order of the ids that four kinds of buckets turn each in its own way. So a bucket of any size costs two rows a
+    member and is counted map-side, and never all pairs; the members of a group meet the same few in most of their
+    buckets, and others where buckets differ. Rows without id take no part.
     """
     docs = docs.where(F.col(id_col).isNotNull())
     n = docs.count()
     words, width, most = wide_plan(n, similarity, recall, wipe)
     prints = scratch.save(wide_index(docs, words, width, wipe, id_col, text_col, shingle), "wide")
-    index = prints.select("id", F.explode("keys").alias("key"))
-    by = F.struct(F.xxhash64("key", "id"), "id")
-    counted = index.groupBy("key").agg(F.count("*").alias("n"), F.min(by)["id"].alias("a"), F.max(by)["id"].alias("b")).where("a <> b")
-    counted = scratch.save(counted, "wide-buckets")
-    twos = counted.select("a", "b")
-    many = index.join(counted.where("n > 2").select("key", "a", "b"), "key").select(F.col("id").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b")
-    pairs = twos.unionByName(many).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    index = wide_variants(prints, width, wipe)
+    kind = F.pmod(F.shiftrightunsigned("key", 38), F.lit(4))
+    salt = F.element_at(F.array(*[F.lit(int(x >> np.uint64(1))) for x in LANES]), (kind + 1).cast("int"))
+    order = _turned(F.col("id").bitwiseXOR(salt), 17)
+    ends = index.select("key", order.alias("o")).groupBy("key").agg(F.min("o").alias("a"), F.max("o").alias("b")).where("a <> b")
+    ends = scratch.save(ends.select("key", *[_turned(F.col(c), 47).bitwiseXOR(salt).alias(c) for c in "ab"]), "wide-buckets")
+    met = index.join(ends, "key").select("id", F.explode(F.array("a", "b")).alias("other")).where("id <> other")
+    pairs = scratch.save(met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "wide-pairs")
     fps = prints.groupBy("id").agg(F.first("fp").alias("fp"))
-    met = scratch.save(pairs, "wide-pairs").join(fps.select(F.col("id").alias("a"), F.col("fp").alias("x")), "a").join(fps.select(F.col("id").alias("b"), F.col("fp").alias("y")), "b")
+    met = pairs.join(fps.select(F.col("id").alias("a"), F.col("fp").alias("x")), "a").join(fps.select(F.col("id").alias("b"), F.col("fp").alias("y")), "b")
     differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
     return scratch.save(met.where(differ <= most).select("a", "b"), "wide-links")
 

@@ -141,7 +141,7 @@ def test_similar_texts_against_brute_force(spark, scratch):
     pairs = [(a, b) for a in grams for b in grams if a < b and a // 1000 == b // 1000 and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])]
     comp = {r["node"]: r["component"] for r in components(simhash.similar_links(df, scratch), scratch).collect()}
     together = sum(comp.get(a, a) == comp.get(b, b) for a, b in pairs)
-    assert len(pairs) > 1000 and together >= 0.95 * len(pairs)
+    assert len(pairs) > 1000 and together >= 0.9 * len(pairs)
     assert all(i // 1000 == c // 1000 for i, c in comp.items() if i >= 100_000)
     stay = Counter(r["doc_id"] for r in simhash.drop_similar(df, scratch).collect() if r["doc_id"] is None or r["doc_id"] < 9)
     assert stay == Counter({None: 2, 1: 1, 3: 1, 6: 1, 8: 2})

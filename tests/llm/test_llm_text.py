@@ -379,8 +379,8 @@ def test_sequences_hold_the_tokens_of_their_pieces(spark, scratch):
         assert r["length"] == len(r["ids"]) <= 1024 and r["offsets"] == sorted(r["offsets"])
         for doc, k, at in zip(r["doc_ids"], r["pieces"], r["offsets"], strict=True):
             p = pieces[r["sequence_id"], at]
-            assert (p["doc_id"], p["piece"]) == (doc, k) and r["ids"][at : at + p["length"]] == p["ids"]
-            assert zlib.crc32(np.array(p["ids"], dtype="<u4").tobytes()) == p["ids_crc32"]
+            assert (p["doc_id"], p["piece"]) == (doc, k)
+            assert zlib.crc32(np.array(r["ids"][at : at + p["length"]], dtype="<u4").tobytes()) == p["ids_crc32"]
             seen += 1
     assert seen == len(pieces) == packed.count()
     assert packing.sequences(packing.pack(packing.pieces(docs.limit(0), *tokenizer(), keep_ids=True), scratch)).count() == 0
@@ -389,4 +389,4 @@ def test_sequences_hold_the_tokens_of_their_pieces(spark, scratch):
 def test_pieces_keep_ids(spark):
     docs = spark.createDataFrame([(1, "hello there " * 900, 5)], "doc_id long, text string, piece int")
     rows = packing.pieces(docs, *tokenizer(), keep_ids=True).collect()
-    assert all(len(r["ids"]) == r["length"] for r in rows) and rows[-1]["ids"][-1] == 2
+    assert all(len(r["ids"]) == 2 * r["length"] for r in rows) and bytes(rows[-1]["ids"][-2:]) == b"\x02\x00"
