@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferry.functions.keys import dest_key
+from ferry.operators.policy import BASE_MS, GIVE_UP_MS, MAX_MS
 
 KEY = ["instance", "relpath"]
 
@@ -20,6 +21,7 @@ S3_TRANSIENT = (
 )
 FTPS_PERMANENT = (530, 532, 550, 551, 552, 553)
 SFTP_PERMANENT = ("auth", "host_key_mismatch", "no_such_file", "bad_message", "op_unsupported")
+# Words of a message about failed authentication.
 AUTH_NEEDLES = ("accessdenied", "access denied", "invalidaccesskeyid", "signaturedoesnotmatch", "signature mismatch", "auth", "authentication", "unauthorized", "forbidden", "401", "403")
 
 
@@ -66,13 +68,16 @@ def retry_decision(attempts: DataFrame, policies: DataFrame, now_ms: int) -> Dat
     """E5. give_up or retry for each failed attempt, with the reason, the new count and the cap of the delay.
 
     Attempts are counted per destination, the time budget runs from the file's discovery. ``policies`` has (instance,
-    base_ms, max_ms, max_attempts, give_up_after_ms), resolved.
+    base_ms, max_ms, max_attempts, give_up_after_ms), resolved; an instance without a row takes the built-in values, which
+    set no limit to attempts.
     """
-    a = attempts.join(policies, "instance")
+    held = policies.select("instance", *[F.col(c).alias(f"_{c}") for c in ("base_ms", "max_ms", "max_attempts", "give_up_after_ms")])
+    a = attempts.join(held, "instance", "left")
+    base, most, age = F.coalesce("_base_ms", F.lit(BASE_MS)), F.coalesce("_max_ms", F.lit(MAX_MS)), F.coalesce("_give_up_after_ms", F.lit(GIVE_UP_MS))
     n = F.col("attempts") + 1
-    reason = F.when(F.col("permanent"), "permanent").when(n >= F.col("max_attempts"), "max_attempts").when(now_ms - F.col("discovered_at") >= F.col("give_up_after_ms"), "too_old")
-    cap = backoff_cap(n, F.col("base_ms"), F.col("max_ms"))
-    wait = backoff(n, F.col("base_ms"), F.col("max_ms"), *KEY, "dest")
+    reason = F.when(F.col("permanent"), "permanent").when(n >= F.col("_max_attempts"), "max_attempts").when(now_ms - F.col("discovered_at") >= age, "too_old")
+    cap = backoff_cap(n, base, most)
+    wait = backoff(n, base, most, *KEY, "dest")
     out = a.select(*attempts.columns, n.alias("new_attempts"), reason.alias("reason"), cap.alias("_cap"), wait.alias("_wait"))
     go = F.col("reason").isNull()
     return out.withColumn("decision", F.when(go, "retry").otherwise("give_up")).withColumn("delay_cap_ms", F.when(go, F.col("_cap"))).withColumn("next_attempt_at", F.when(go, now_ms + F.col("_wait"))).drop("_cap", "_wait")
@@ -86,13 +91,18 @@ def pending_dests(items: DataFrame, egress: DataFrame, dest_states: DataFrame, n
     return d.withColumn("standing", F.when(F.col("phase") != "pending", F.col("phase")).when(F.col("next_attempt_at") <= now_ms, "due").otherwise("not_due"))
 
 
-def rollup_items(dest_rows: DataFrame) -> DataFrame:
-    """D8. State of each item from its destinations (instance, relpath, dest, phase, attempts, next_attempt_at, last_error,
-    item_attempts).
+def rollup_items(items: DataFrame, egress: DataFrame, dest_states: DataFrame) -> DataFrame:
+    """D8. State of each item (instance, relpath, attempts) from all its configured destinations.
 
-    Exhausted when any destination is, with their errors joined and the most attempts; verified when all are; else failed,
-    one attempt more, gated at the earliest gate of what is pending, with the error of the greatest label that has one.
+    ``egress``(instance, dest) are the destinations; ``dest_states`` has (instance, relpath, dest, phase, attempts,
+    next_attempt_at, last_error). A destination without a row is pending and due at once, so an item is verified only when
+    every configured destination is; rows of destinations that are not configured don't count. Exhausted when any is, with
+    their errors joined and the most attempts; else failed, one attempt more, gated at the earliest gate of what is
+    pending, with the error of the greatest label that has one. An item of an instance without destinations is failed.
     """
+    had = items.select(*KEY, F.col("attempts").alias("item_attempts")).join(egress.select("instance", "dest").distinct(), "instance", "left")
+    d = dest_states.select(*KEY, "dest", "phase", "attempts", "next_attempt_at", "last_error")
+    dest_rows = had.join(d, [*KEY, "dest"], "left").withColumn("phase", F.coalesce("phase", F.lit("pending"))).withColumn("next_attempt_at", F.coalesce("next_attempt_at", F.lit(0)))
     out = F.col("phase") == "exhausted"
     pend = F.col("phase") == "pending"
     g = dest_rows.groupBy(*KEY).agg(
@@ -128,17 +138,21 @@ def cleanup_plan(items: DataFrame, dest_rows: DataFrame, checkpoints: DataFrame)
     return dest_rows.where("phase = 'pending'").join(gone, KEY, "left_semi").join(checkpoints.select(*KEY, "dest"), [*KEY, "dest"], "left_semi")
 
 
-def recovery_plan(ledger: DataFrame, dest_states: DataFrame, checks: DataFrame) -> DataFrame:
+def recovery_plan(ledger: DataFrame, egress: DataFrame, dest_states: DataFrame, checks: DataFrame) -> DataFrame:
     """E10. What a restart does with each unfinished item.
 
-    ``checks``(instance, relpath, dest, ok) says which copies verify again. A verified destination that does not is pending
-    again. Verified items complete if all their destinations still verify, and are ready otherwise; items in progress are
-    ready; exhausted ones finish. Nothing is removed over a copy that is not verified.
+    ``checks``(instance, relpath, dest, ok) says which copies verify again. A verified item completes only if every
+    configured destination (``egress``: instance, dest) verifies again, one without a row or a check included, and is ready
+    otherwise. Items in progress are ready, after those of their destinations that were verified are checked. Exhausted
+    ones finish. ``confirmed`` and ``demoted`` count the destinations that verify again and those that are pending again.
+    Nothing is removed over a copy that is not verified.
     """
-    again = dest_states.where("phase = 'verified'").join(checks.select(*KEY, "dest", "ok"), [*KEY, "dest"], "left")
-    bad = again.groupBy(*KEY).agg(F.count_if(~F.coalesce("ok", F.lit(False))).alias("demoted"), F.count_if(F.coalesce("ok", F.lit(False))).alias("confirmed"))
-    left = dest_states.groupBy(*KEY).agg(F.count_if(F.col("phase") != "verified").alias("_open"))
-    todo = ledger.where(F.col("state").isin("verified", "in_progress", "exhausted")).join(bad, KEY, "left").join(left, KEY, "left")
-    clean = (F.coalesce("demoted", F.lit(0)) == 0) & (F.coalesce("_open", F.lit(0)) == 0)
+    todo = ledger.where(F.col("state").isin("verified", "in_progress", "exhausted")).select(*KEY, "state")
+    due = todo.join(egress.select("instance", "dest").distinct(), "instance").join(dest_states.select(*KEY, "dest", "phase"), [*KEY, "dest"], "left").join(checks.select(*KEY, "dest", "ok"), [*KEY, "dest"], "left")
+    due = due.where((F.col("state") == "verified") | ((F.col("state") == "in_progress") & (F.col("phase") == "verified")))
+    ok = F.coalesce("ok", F.lit(False))
+    got = due.groupBy(*KEY).agg(F.count_if(~ok).alias("demoted"), F.count_if(ok).alias("confirmed"))
+    j = todo.join(got, KEY, "left").withColumn("demoted", F.coalesce("demoted", F.lit(0))).withColumn("confirmed", F.coalesce("confirmed", F.lit(0)))
+    clean = (F.col("demoted") == 0) & (F.col("confirmed") > 0)
     action = F.when(F.col("state") == "exhausted", "finish").when((F.col("state") == "verified") & clean, "complete").otherwise("ready")
-    return todo.select(*KEY, "state", action.alias("action"), F.coalesce("demoted", F.lit(0)).alias("demoted"), F.coalesce("confirmed", F.lit(0)).alias("confirmed"))
+    return j.select(*KEY, "state", action.alias("action"), "demoted", "confirmed")

@@ -8,18 +8,25 @@ from pyspark.sql import functions as F
 DAY = 86_400_000
 
 
-
 def local_to_ms(local: Column, tz: Column) -> Column:
-    """Unix milliseconds of a wall-clock time. The repeated hour of autumn takes the earlier offset; a time in the hour
-    that spring leaves out resolves to just before the gap, one second short of it."""
-    utc = F.to_utc_timestamp(local, tz)
-    back = F.from_utc_timestamp(utc, tz)
-    micros = F.unix_micros(utc)
-    # in a gap the round trip lands later by the gap; the instant before the gap is that much of a day part earlier
-    gap = F.unix_micros(back) - F.unix_micros(local)
-    into = F.unix_micros(local) % F.lit(3_600_000_000)
-    edge = micros - into - F.lit(1_000_000)
-    return F.when(gap > 0, F.floor(edge / 1000)).otherwise(F.floor(micros / 1000)).cast("long")
+    """Unix milliseconds of a wall-clock time. The repeated hour of autumn takes the earlier offset; a time that a change
+    of the clock leaves out resolves to just before that gap, one second short of it, however long the gap is and
+    wherever in the hour it begins.
+
+    The gap begins after the last of the minutes before that still have the offset of two days ago; only times inside a
+    gap are looked up that way.
+    """
+    micros = F.unix_micros(F.to_utc_timestamp(local, tz))
+    moved = F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(micros), tz)) - F.unix_micros(local)
+    minute = 60_000_000
+
+    def offset(at):
+        return F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(at), tz)) - at
+
+    start = micros - F.lit(2 * 1440 * minute) - micros % F.lit(minute)
+    kept = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(2 * 1440).cast("long")), lambda m: offset(start + m * F.lit(minute)) == offset(start))
+    edge = start + (F.array_max(kept) + F.lit(1)) * F.lit(minute) - F.lit(1_000_000)
+    return F.when(moved > 0, F.floor(edge / 1000)).otherwise(F.floor(micros / 1000)).cast("long")
 
 
 def expand_fires(schedules: DataFrame, from_ms: int, to_ms: int) -> DataFrame:
@@ -119,7 +126,7 @@ def admission(items: DataFrame, states: DataFrame, force: bool = False) -> DataF
     """
     j = items.join(states, "instance", "left")
     gate = F.when(~F.coalesce("active", F.lit(True)), "none").when(F.lit(force), "all").when(F.col("mode") == "cron", F.when(F.coalesce("fired", F.lit(False)), "all").otherwise("none")).when(F.col("mode") == "window", F.when(F.coalesce("open", F.lit(False)), "windowed").otherwise("none")).otherwise("all")
-    return j.select(*items.columns, gate.alias("admission")).join(states.select("instance", F.col("until").alias("close_ms")), "instance", "left").withColumn("close_ms", F.when(F.col("admission") == "windowed", F.col("close_ms")))
+    return j.withColumn("admission", gate).select(*items.columns, "admission", F.when(F.col("admission") == "windowed", F.col("until")).alias("close_ms"))
 
 
 def invalid_schedules(schedules: DataFrame, fires: DataFrame, zones: list[str] | None = None) -> DataFrame:
@@ -134,8 +141,9 @@ def invalid_schedules(schedules: DataFrame, fires: DataFrame, zones: list[str] |
 
 
 def schedule_transitions(decisions: DataFrame) -> DataFrame:
-    """E16. opened, closed and triggered edges of (instance, ts, kind): kind is windowed, triggered, or anything else."""
-    w = Window.partitionBy("instance").orderBy("ts")
+    """E16. opened, closed and triggered edges of (instance, ts, seq, kind): kind is windowed, triggered, or anything else.
+    Decisions of one instant go in order of ``seq``."""
+    w = Window.partitionBy("instance").orderBy("ts", "seq")
     # a trigger leaves the window flag alone, so the state before is the last other decision
     is_open = F.when(F.col("kind") != "triggered", F.col("kind") == "windowed")
     before = F.coalesce(F.last(is_open, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))

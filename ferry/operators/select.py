@@ -14,15 +14,17 @@ def select_globs(manifest: DataFrame, include: list[str], exclude: list[str], pa
 
 
 def prune_dirs(manifest: DataFrame, skip: DataFrame, path: str = "relpath") -> DataFrame:
-    """A3. Leaves out whatever lies at or below a folder of ``skip(dir)``, by whole path components.
+    """A3. Leaves out whatever lies at or below a folder of its own instance in ``skip(instance, dir)``, by whole path
+    components.
 
-    Every row meets its ancestors by equality: the path's prefixes are exploded and semi-joined, so no range or nested
-    loop join is needed however many folders there are.
+    The folders of an instance travel to its rows as one list, and a row's ancestors are looked up in it, so no path is
+    taken apart into rows and the listing is not joined with itself.
     """
     parts = F.split(F.col(path), "/")
     up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    inside = manifest.select("instance", path, F.explode(up).alias("_a")).join(skip.select(F.regexp_replace("dir", "/+$", "").alias("_a")).distinct(), "_a", "left_semi").select("instance", path).distinct()
-    return manifest.join(inside, ["instance", path], "left_anti")
+    dirs = skip.groupBy("instance").agg(F.collect_set(F.regexp_replace("dir", "/+$", "")).alias("_dirs"))
+    met = manifest.join(dirs, "instance", "left")
+    return met.where(~F.coalesce(F.arrays_overlap(up, F.col("_dirs")), F.lit(False))).select(*manifest.columns)
 
 
 def ready_by_marker(manifest: DataFrame, suffix: str = ".done") -> DataFrame:

@@ -55,16 +55,14 @@ def _drain(out: DataFrame, s: Scratch, mode: str = "append") -> DataFrame:
 # --- A: sources and sinks
 
 
-@query("manifest", sql="SELECT instance, relpath, size FROM manifest WHERE NOT (starts_with(relpath, 'en/src1/') OR starts_with(relpath, 'de/'))")
+@query("manifest", sql="SELECT instance, relpath, size FROM manifest WHERE NOT (instance <> 'inst-3' AND starts_with(relpath, 'en/src1/') OR instance IN ('inst-0', 'inst-1') AND starts_with(relpath, 'de/'))")
 def a03_prune_dirs(v: Views) -> DataFrame:
-    skip = v.spark.createDataFrame([("en/src1",), ("de/",)], "dir string")
+    skip = v.spark.createDataFrame([("inst-0", "en/src1"), ("inst-1", "en/src1"), ("inst-2", "en/src1"), ("inst-0", "de/"), ("inst-1", "de")], "instance string, dir string")
     return select.prune_dirs(v.manifest(), skip).select("instance", "relpath", "size")
 
 
-@query("manifest", sql="SELECT m.relpath AS key, m.size AS bytes, sha256(d.text) AS hex FROM manifest m JOIN documents d USING (doc_id)")
-def a04_copy_files(v: Views) -> DataFrame:
-    s = Scratch(v.spark, "a04")
-    root = s.path("src").removeprefix("file://")
+def _tree(rows: DataFrame, root: str) -> DataFrame:
+    """Writes (relpath, text, size) as files below ``root`` inside tasks: (path, key, size)."""
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -77,10 +75,50 @@ def a04_copy_files(v: Views) -> DataFrame:
                 paths.append(p)
             yield pd.DataFrame({"path": paths, "key": pdf["relpath"], "size": pdf["size"]})
 
-    src = v.manifest().join(v.table("documents").select("doc_id", "text"), "doc_id").select("relpath", "text", "size").mapInPandas(put, "path string, key string, size long")
+    return rows.select("relpath", "text", "size").mapInPandas(put, "path string, key string, size long")
+
+
+def _bodies(v: Views) -> DataFrame:
+    return v.manifest().join(v.table("documents").select("doc_id", "text"), "doc_id")
+
+
+@query("manifest", sql="SELECT instance, relpath, size, doc_id % 10 = 0 AS ready FROM (SELECT *, relpath AS r FROM manifest) UNION ALL SELECT instance, relpath || '.done', 0, FALSE FROM manifest WHERE doc_id % 10 = 0 UNION ALL SELECT DISTINCT instance, '_state/.hidden', 0, FALSE FROM manifest")
+def a01_scan_manifest(v: Views) -> DataFrame:
+    """A tree of files with empty markers and hidden names, listed (A1) and judged by its markers (C1)."""
+    s = Scratch(v.spark, "a01")
+    root = s.path("tree").removeprefix("file://")
+    body = _bodies(v).select("doc_id", "instance", "relpath", "text", "size")
+    marks = body.where("doc_id % 10 = 0").withColumn("relpath", F.concat("relpath", F.lit(".done")))
+    hidden = body.select("instance").distinct().withColumn("relpath", F.lit("_state/.hidden"))
+    rows = body.drop("doc_id").unionByName(marks.select("instance", "relpath", F.lit("").alias("text"), F.lit(0).cast("long").alias("size"))).unionByName(hidden.select("instance", "relpath", F.lit("").alias("text"), F.lit(0).cast("long").alias("size")))
+    s.save(_tree(rows.withColumn("relpath", F.concat_ws("/", "instance", "relpath")), root), "made")
+    listed = s.save(files.scan_manifest(v.spark, {f"inst-{i}": f"{root}/inst-{i}" for i in range(4)}), "listed")
+    ready = select.ready_by_marker(listed).select("instance", "relpath", F.lit(True).alias("_ready"))
+    return listed.join(ready, ["instance", "relpath"], "left").select("instance", "relpath", "size", F.coalesce("_ready", F.lit(False)).alias("ready"))
+
+
+@query("manifest", sql="SELECT m.relpath AS key, m.size AS bytes, sha256(d.text) AS hex FROM manifest m JOIN documents d USING (doc_id)")
+def a04_copy_files(v: Views) -> DataFrame:
+    s = Scratch(v.spark, "a04")
+    src = _tree(_bodies(v), s.path("src").removeprefix("file://"))
     return files.copy_files(s.save(src, "made"), s.path("dst").removeprefix("file://")).select("key", "bytes", "hex")
 
 
+@query("manifest", sql="""SELECT instance, relpath, CASE WHEN doc_id % 3 = 0 THEN 'left' WHEN doc_id % 5 = 0 THEN 'unverified' WHEN doc_id % 7 = 0 THEN 'deleted' ELSE 'moved' END AS outcome, CASE WHEN doc_id % 3 > 0 AND doc_id % 5 > 0 AND doc_id % 7 > 0 THEN size END AS archived FROM manifest""")
+def a10_apply_actions(v: Views) -> DataFrame:
+    """Files are written, archived, deleted or left, twice, and the archive is listed."""
+    s = Scratch(v.spark, "a10")
+    root = s.path("tree").removeprefix("file://")
+    body = _bodies(v).select("doc_id", "instance", F.concat_ws("/", "instance", "relpath").alias("relpath"), "text", "size")
+    s.save(_tree(body, f"{root}/src"), "made")
+    plan = body.select("instance", F.col("relpath").alias("key"), F.concat(F.lit(f"{root}/src/"), "relpath").alias("path"), F.expr("case when doc_id % 3 = 0 then 'leave' when doc_id % 7 = 0 then 'delete' else 'archive' end").alias("action"), F.concat(F.lit(f"{root}/arch/"), "relpath").alias("target"), F.expr("doc_id % 5 <> 0").alias("verified"), "size")
+    files.apply_actions(plan, Scratch(v.spark, "a10-first"))
+    done = files.apply_actions(plan, Scratch(v.spark, "a10-again")).select("path", "outcome")
+    kept = files.scan_manifest(v.spark, {"arch": f"{root}/arch"}).select(F.col("relpath").alias("key"), F.col("size").alias("archived"))
+    out = plan.join(done, "path").join(kept, "key", "left")
+    return out.select("instance", F.expr("substring(key, length(instance) + 2)").alias("relpath"), "outcome", "archived")
+
+
 def _enriched(v: Views) -> DataFrame:
     e = v.outcomes().select("instance", "seq", "now_ms", F.col("relpath").alias("path"), "dest", F.expr("case outcome when 'ok' then 'replication-completed' when 'progress' then 'replication-progress' when 'gave_up' then 'retries-exhausted' else 'replication-failed' end").alias("event"), "error", F.col("error").alias("last_error"), F.when(F.col("outcome") == "failed", F.col("now_ms") + 1000).alias("next_attempt_at"))
     return ev.enrich_events(e, ["path", "dest", "error", "last_error", "next_attempt_at"])
@@ -346,12 +384,18 @@ def d07_count_failures_once(v: Views) -> DataFrame:
 ROLLUP = """SELECT instance, relpath, CASE WHEN o THEN 'exhausted' WHEN a THEN 'verified' ELSE 'failed' END AS state, CASE WHEN o THEN most WHEN a THEN had ELSE had + 1 END AS attempts,
     CASE WHEN o OR a THEN 0 ELSE gate END AS next_attempt_at, CASE WHEN o THEN errors WHEN NOT a THEN one END AS last_error FROM (
     SELECT instance, relpath, bool_or(phase = 'exhausted') AS o, bool_and(phase = 'verified') AS a, max(attempts) FILTER (phase = 'exhausted') AS most, max(item_attempts) AS had, min(next_attempt_at) FILTER (phase = 'pending') AS gate,
-    string_agg(dest || ': ' || coalesce(last_error, ''), '; ' ORDER BY dest || ': ' || coalesce(last_error, '')) FILTER (phase = 'exhausted') AS errors, arg_max(last_error, dest) FILTER (phase = 'pending' AND last_error IS NOT NULL) AS one FROM dest_states GROUP BY ALL)"""
+    string_agg(dest || ': ' || coalesce(last_error, ''), '; ' ORDER BY dest || ': ' || coalesce(last_error, '')) FILTER (phase = 'exhausted') AS errors, arg_max(last_error, dest) FILTER (phase = 'pending' AND last_error IS NOT NULL) AS one FROM (
+    SELECT l.instance, l.relpath, g.dest, l.attempts AS item_attempts, coalesce(d.phase, 'pending') AS phase, d.attempts, coalesce(d.next_attempt_at, 0) AS next_attempt_at, d.last_error
+    FROM ledger l CROSS JOIN (VALUES ('local'), ('s3'), ('http')) g(dest) LEFT JOIN dest_states d ON d.instance = l.instance AND d.relpath = l.relpath AND d.dest = g.dest) GROUP BY ALL)"""
 
 
-@query("dest_states", sql=ROLLUP)
+def _three(v: Views) -> DataFrame:
+    return _egress(v).where("dest <> 'sftp'")
+
+
+@query("ledger", "dest_states", sql=ROLLUP)
 def d08_rollup_items(v: Views) -> DataFrame:
-    return retry.rollup_items(v.dest_states())
+    return retry.rollup_items(v.ledger(), _three(v), v.dest_states())
 
 
 @query("manifest", sql="""WITH a AS (SELECT instance, CASE doc_id % 2 WHEN 0 THEN 'glob' ELSE 'marker' END AS strategy, count(*) AS discovered, count(*) FILTER (relpath LIKE '%.txt') AS ready, count(*) FILTER (relpath LIKE '%.tmp') AS ignored FROM manifest GROUP BY ALL),
@@ -506,14 +550,17 @@ def e08_exhausted_plan(v: Views) -> DataFrame:
 @query("ledger", "dest_states", sql=f"SELECT instance, relpath, dest FROM dest_states WHERE phase = 'pending' AND attempts % 2 = 0 AND (instance, relpath) IN (SELECT (instance, relpath) FROM ({ROLLUP}) WHERE state = 'exhausted')")
 def e09_cleanup_plan(v: Views) -> DataFrame:
     d = v.dest_states()
-    return retry.cleanup_plan(retry.rollup_items(d), d, d.where("attempts % 2 = 0")).select("instance", "relpath", "dest")
+    return retry.cleanup_plan(retry.rollup_items(v.ledger(), _three(v), d), d, d.where("attempts % 2 = 0")).select("instance", "relpath", "dest")
 
 
-@query("ledger", "dest_states", sql="""WITH c AS (SELECT instance, relpath, count(*) FILTER (phase = 'verified' AND attempts % 4 = 0) AS demoted, count(*) FILTER (phase = 'verified' AND attempts % 4 <> 0) AS confirmed, count(*) FILTER (phase <> 'verified') AS open FROM dest_states GROUP BY ALL)
-SELECT instance, relpath, state, CASE WHEN state = 'exhausted' THEN 'finish' WHEN state = 'verified' AND coalesce(demoted, 0) = 0 AND coalesce(open, 0) = 0 THEN 'complete' ELSE 'ready' END AS action, coalesce(demoted, 0) AS demoted, coalesce(confirmed, 0) AS confirmed FROM ledger LEFT JOIN c USING (instance, relpath) WHERE state IN ('verified', 'in_progress', 'exhausted')""")
+@query("ledger", "dest_states", sql="""WITH a AS (SELECT l.instance, l.relpath, l.state, g.dest, d.phase, coalesce(d.attempts % 4 <> 0, FALSE) AS ok FROM ledger l CROSS JOIN (VALUES ('local'), ('s3'), ('http')) g(dest)
+    LEFT JOIN dest_states d ON d.instance = l.instance AND d.relpath = l.relpath AND d.dest = g.dest WHERE state IN ('verified', 'in_progress', 'exhausted')),
+c AS (SELECT instance, relpath, state, CASE state WHEN 'verified' THEN TRUE WHEN 'in_progress' THEN phase IS NOT DISTINCT FROM 'verified' ELSE FALSE END AS asked, ok FROM a),
+g AS (SELECT instance, relpath, state, bool_and(ok) AS every, count(*) FILTER (asked AND NOT ok) AS demoted, count(*) FILTER (asked AND ok) AS confirmed FROM c GROUP BY instance, relpath, state)
+SELECT instance, relpath, state, CASE WHEN state = 'exhausted' THEN 'finish' WHEN state = 'verified' AND every THEN 'complete' ELSE 'ready' END AS action, demoted, confirmed FROM g""")
 def e10_recovery_plan(v: Views) -> DataFrame:
     d = v.dest_states()
-    return retry.recovery_plan(v.ledger(), d, d.select("instance", "relpath", "dest", (F.col("attempts") % 4 != 0).alias("ok")))
+    return retry.recovery_plan(v.ledger(), _three(v), d, d.select("instance", "relpath", "dest", (F.col("attempts") % 4 != 0).alias("ok")))
 
 
 STATES_OF = "CASE kind WHEN 'ok' THEN 'verified' WHEN 'progress' THEN 'in_progress' WHEN 'http' THEN 'failed' ELSE 'ready' END"
@@ -571,9 +618,9 @@ def e15_log_once(v: Views) -> DataFrame:
 
 
 @query("probes", "windows", sql="""WITH d AS (SELECT 'inst-' || (user_id % 4) AS instance, event_id, t_ms, EXISTS (SELECT 1 FROM windows w WHERE w.open_ms <= t_ms AND t_ms < w.close_ms) AS open FROM probes),
-l AS (SELECT *, coalesce(lag(open) OVER (PARTITION BY instance ORDER BY t_ms), FALSE) AS before FROM d) SELECT instance, event_id, CASE WHEN open THEN 'opened' ELSE 'closed' END AS edge FROM l WHERE open <> before""")
+l AS (SELECT *, coalesce(lag(open) OVER (PARTITION BY instance ORDER BY t_ms, event_id), FALSE) AS before FROM d) SELECT instance, event_id, CASE WHEN open THEN 'opened' ELSE 'closed' END AS edge FROM l WHERE open <> before""")
 def e16_schedule_transitions(v: Views) -> DataFrame:
-    s = schedule.window_state(v.probes(), v.windows()).selectExpr("concat('inst-', user_id % 4) as instance", "event_id", "t_ms as ts", "if(open, 'windowed', 'none') as kind")
+    s = schedule.window_state(v.probes(), v.windows()).selectExpr("concat('inst-', user_id % 4) as instance", "event_id", "event_id as seq", "t_ms as ts", "if(open, 'windowed', 'none') as kind")
     return schedule.schedule_transitions(s).select("instance", "event_id", "edge")
 
 
@@ -657,7 +704,11 @@ def i01_checksum_sha256(v: Views) -> DataFrame:
     return integrity.checksum_content(v.table("documents").select("doc_id", F.col("text").alias("content"))).select("doc_id", "algo", "hex")
 
 
-@query()
+CRC_TABLE = "(SELECT list(v ORDER BY n) AS t FROM (SELECT n, list_reduce([n::BIGINT] || range(0, 8), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 2197175160) ELSE v >> 1 END) AS v FROM range(0, 256) r(n)))"
+
+
+@query(sql=f"""SELECT doc_id, 'crc32c' AS algo, CASE WHEN text IS NOT NULL THEN lpad(lower(to_hex(xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, strlen(text) + 1), lambda i: ('0x' || substr(h, (2 * i - 1)::INT, 2))::BIGINT), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295))), 8, '0') END AS hex
+    FROM (SELECT doc_id, text, hex(encode(text)) AS h FROM documents), {CRC_TABLE}""")
 def i02_checksum_crc32c(v: Views) -> DataFrame:
     return integrity.checksum_content(v.table("documents").select("doc_id", F.col("text").alias("content")), "crc32c").select("doc_id", "algo", "hex")
 
@@ -830,6 +881,7 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = Views(spark, sf_dir)
     listed = select.select_globs(_marked(v), ["*.csv", "*.done", "*.txt"], ["*.tmp"])
     found = select.ready_by_marker(listed).selectExpr("instance", "relpath", "'ready' as state", f"{NOW} as discovered_at", "0L as size")
-    dest = ledger.fold_attempts(v.outcomes()).select("instance", "relpath", "dest", "phase", "attempts", F.lit(0).cast("long").alias("next_attempt_at"), "last_error", F.col("attempts").alias("item_attempts"))
-    items = retry.rollup_items(dest).selectExpr("instance", "relpath", "state", f"{START} as discovered_at", "0L as size")
+    dest = ledger.fold_attempts(v.outcomes()).select("instance", "relpath", "dest", "phase", "attempts", F.lit(0).cast("long").alias("next_attempt_at"), "last_error")
+    tried = dest.groupBy("instance", "relpath").agg(F.max("attempts").alias("attempts"))
+    items = retry.rollup_items(tried, _three(v), dest).selectExpr("instance", "relpath", "state", f"{START} as discovered_at", "0L as size")
     return metrics.metrics_queue(found.unionByName(items), NOW)

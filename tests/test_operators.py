@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ferry.functions.keys import byte_rate, dest_key, duration_ms, glob_regex
 from ferry.operators import integrity, ledger, parts, ready, retry, schedule, select, throttle
+from ferry.plans.scratch import Scratch
 from ferry.sources import files
 
 
@@ -54,7 +55,7 @@ def test_collisions(spark):
 
 def test_prune_is_by_component(spark):
     m = spark.createDataFrame([("i", "out/a"), ("i", "outer/a"), ("i", "out")], "instance string, relpath string")
-    assert [r["relpath"] for r in select.prune_dirs(m, spark.createDataFrame([("out",)], "dir string")).collect()] == ["outer/a"]
+    assert [r["relpath"] for r in select.prune_dirs(m, spark.createDataFrame([("i", "out"), ("j", "outer")], "instance string, dir string")).collect()] == ["outer/a"]
 
 
 def test_stability_restarts_and_zero_quiet(spark):
@@ -113,9 +114,17 @@ def test_files_are_listed_copied_checked_and_archived(spark, tmp_path):
     done = files.copy_large(ranges, dst)
     assert {r["sent"] for r in done.collect()} == {False}
     assert files.assemble(done, plan, dst).first()["committed"] and open(os.path.join(dst, "big"), "rb").read() == body["a/x.bin"]
-    plan = listed.select("path", F.when(F.col("relpath") == "z.bin", "delete").otherwise("archive").alias("action"), F.concat(F.lit(str(tmp_path / "arch") + "/"), "relpath").alias("target")).collect()
-    acts = files.apply_actions(spark.createDataFrame(plan)).collect()
-    assert sorted(r["outcome"] for r in acts) == ["deleted", "moved", "moved"] and (tmp_path / "arch/a/x.bin").exists() and not (src / "z.bin").exists()
+    plan = listed.select("path", F.when(F.col("relpath") == "z.bin", "delete").otherwise("archive").alias("action"), F.concat(F.lit(str(tmp_path / "arch") + "/"), "relpath").alias("target"), (F.col("relpath") != "a/b/y.bin").alias("verified"), "size").collect()
+    plan = spark.createDataFrame(plan)
+    for job in ("first", "again"):
+        acts = files.apply_actions(plan, Scratch(spark, job))
+        for _ in range(2):
+            assert {os.path.basename(r["path"]): r["outcome"] for r in acts.collect()} == {"x.bin": "moved", "y.bin": "unverified", "z.bin": "deleted"}
+    assert (tmp_path / "arch/a/x.bin").read_bytes() == body["a/x.bin"] and (src / "a/b/y.bin").exists() and not (src / "z.bin").exists()
+    (tmp_path / "arch/a/b").mkdir()
+    (tmp_path / "arch/a/b/y.bin").write_bytes(b"archived before")
+    got = files.apply_actions(plan.where("path like '%y.bin'").withColumn("verified", F.lit(True)), Scratch(spark, "third")).first()["outcome"]
+    assert got == "taken" and (tmp_path / "arch/a/b/y.bin").read_bytes() == b"archived before" and (src / "a/b/y.bin").exists()
 
 
 def test_arrivals_stream(spark, tmp_path):
@@ -158,3 +167,50 @@ def test_throttle_equals_replay(spark):
         tokens = min(3_000.0, tokens + (t - last) * 3) - n
         last = t
         assert abs(got[i] - max(0.0, -tokens) / 3) < 1e-6
+
+
+DESTS = "instance string, relpath string, dest string, phase string, attempts long, next_attempt_at long, last_error string"
+
+
+def test_an_item_is_verified_only_when_every_configured_destination_is(spark):
+    items = spark.createDataFrame([("i", f, 2) for f in ("half", "all", "none", "bad", "alien")], "instance string, relpath string, attempts long")
+    egress = spark.createDataFrame([("i", "a"), ("i", "b")], "instance string, dest string")
+    rows = [("i", "half", "a"), ("i", "all", "a"), ("i", "all", "b"), ("i", "alien", "a"), ("i", "alien", "gone")]
+    states = spark.createDataFrame([(*r, "verified", 1, 0, None) for r in rows] + [("i", "bad", "a", "exhausted", 9, 0, "no"), ("i", "bad", "b", "pending", 3, 77, "e")], DESTS)
+    got = {r["relpath"]: (r["state"], r["attempts"], r["next_attempt_at"], r["last_error"]) for r in retry.rollup_items(items, egress, states).collect()}
+    assert got == {"half": ("failed", 3, 0, None), "all": ("verified", 2, 0, None), "none": ("failed", 3, 0, None), "bad": ("exhausted", 9, 0, "a: no"), "alien": ("failed", 3, 0, None)}
+
+
+def test_recovery_completes_only_what_verifies_at_every_configured_destination(spark):
+    ledger_ = spark.createDataFrame([("i", "bare", "verified"), ("i", "half", "verified"), ("i", "all", "verified"), ("i", "busy", "in_progress"), ("i", "out", "exhausted"), ("j", "lost", "verified")], "instance string, relpath string, state string")
+    egress = spark.createDataFrame([("i", "a"), ("i", "b")], "instance string, dest string")
+    states = spark.createDataFrame([("i", "half", "a", "verified", 0, 0, None), ("i", "busy", "a", "verified", 0, 0, None), ("i", "all", "a", "verified", 0, 0, None)], DESTS)
+    checks = spark.createDataFrame([("i", "half", "a", True), ("i", "all", "a", True), ("i", "all", "b", True), ("i", "busy", "a", False)], "instance string, relpath string, dest string, ok boolean")
+    got = {r["relpath"]: (r["action"], r["confirmed"], r["demoted"]) for r in retry.recovery_plan(ledger_, egress, states, checks).collect()}
+    assert got == {"bare": ("ready", 0, 2), "half": ("ready", 1, 1), "all": ("complete", 2, 0), "busy": ("ready", 0, 1), "out": ("finish", 0, 0), "lost": ("ready", 0, 0)}
+
+
+def test_retries_of_an_instance_without_policy_take_the_built_in_values(spark):
+    a = spark.createDataFrame([("x", "f", "d", 2, False, 0)], "instance string, relpath string, dest string, attempts long, permanent boolean, discovered_at long")
+    none = spark.createDataFrame([], "instance string, base_ms long, max_ms long, max_attempts long, give_up_after_ms long")
+    r = retry.retry_decision(a, none, 1_000).first()
+    assert (r["decision"], r["new_attempts"], r["delay_cap_ms"]) == ("retry", 3, 4_000)
+
+
+def test_gaps_of_any_length_resolve_to_just_before_them(spark):
+    def ms(local, tz):
+        return spark.sql(f"select timestamp_ntz'{local}' as t").select(schedule.local_to_ms(F.col("t").cast("timestamp"), F.lit(tz)).alias("x")).first()["x"]
+
+    def utc(text):
+        return spark.sql(f"select unix_millis(timestamp'{text}Z')").first()[0]
+
+    assert ms("2011-12-30 12:00:00", "Pacific/Apia") == utc("2011-12-30 09:59:59")
+    assert ms("2026-03-08 02:30:00", "America/New_York") == utc("2026-03-08 06:59:59")
+    assert ms("2026-10-04 02:15:00", "Australia/Lord_Howe") == utc("2026-10-03 15:29:59")
+
+
+def test_crc32c_in_lanes_is_the_plain_one():
+    rng = random.Random(9)
+    for n in (4_095, 4_096, 5_001, 65_537, 300_000):
+        d = rng.randbytes(n)
+        assert integrity.crc32c(d, 7) == integrity._plain(d, 7 ^ 0xFFFFFFFF) ^ 0xFFFFFFFF
