@@ -195,12 +195,12 @@ def differing_share(similarity: float) -> float:
 def wide_plan(n: int, similarity: float, recall: float, wipe: int) -> tuple[int, int, int]:
     """(words, width, most differing bits) for ``n`` documents.
 
-    A segment is the low ``width`` bits of half a word: 26, which keeps unrelated documents apart up to 2^24 documents, and
+    A segment is the low ``width`` bits of half a word: 24, which keeps unrelated documents apart up to 2^22 documents, and
     more beyond, so that a bucket holds less than one by chance. The number of segments follows from the odds that one of them differs
     in at most one bit (of two that differ in one, three in four are taken to wipe out that bit). Two fingerprints are
     near when they differ in no more bits than 97.7% of the pairs at ``similarity`` do.
     """
-    width = int(min(32, max(26, np.ceil(np.log2(max(2, n))) + 2)))
+    width = int(min(32, max(24, np.ceil(np.log2(max(2, n))) + 2)))
     p = differing_share(similarity)
     meet = (1 - p) ** width + 0.75 * (wipe / max(wipe, 4)) * width * p * (1 - p) ** (width - 1)
     words = int(np.ceil(np.log(1 - recall) / np.log(1 - meet) / 2))
@@ -245,7 +245,7 @@ def wide_variants(prints: DataFrame, width: int, wipe: int) -> DataFrame:
     return v.select("id", head.bitwiseOR(value.bitwiseAND(F.bitwise_not(place))).alias("key"))
 
 
-def similar_links(docs: DataFrame, scratch: Scratch, similarity: float = 0.8, recall: float = 0.9, wipe: int = 4, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+def similar_links(docs: DataFrame, scratch: Scratch, similarity: float = 0.8, recall: float = 0.95, wipe: int = 4, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """Links (a, b) of ids of documents whose wide fingerprints are as near as those of texts of this similarity.
 
     Variants meet by equality. Every member of a bucket is verified against two members of it, the first and the last in
