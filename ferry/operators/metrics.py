@@ -48,8 +48,7 @@ def metrics_transfer(attempts: DataFrame) -> DataFrame:
     """D13. Attempts (instance, dest_type, ts_ms, result, bytes, duration_ms, retry, resumed, item_level) by interval.
 
     ``peak_bytes_per_sec`` is the most of any attempt, each its bytes by its seconds and its bytes where it took no time. Rows
-    about a
-    whole item of an instance with several destinations have the type ``multi``.
+    about a whole item of an instance with several destinations have the type ``multi``.
     """
     several = F.col("item_level") & (F.col("dest_count") > 1)
     kind = F.when(several, "multi").otherwise(F.col("dest_type")).alias("destination_type")

@@ -10,6 +10,7 @@ from ferry.functions.keys import byte_rate, duration_ms
 #: Built-in values: first delay, longest delay, time until giving up (7 days).
 BASE_MS, MAX_MS, GIVE_UP_MS = 1_000, 900_000, 604_800_000
 ENUMS = {"on_success": ("archive", "delete"), "on_exhausted": ("retainInPlace", "quarantine"), "verify": ("checksum", "size", "none"), "on_collision": ("suffix", "overwrite", "fail")}
+PERMISSION = ("disableInstance", "fatal", "retain")
 
 
 def lenient_long(text: Column) -> Column:
@@ -45,6 +46,47 @@ def load_policies(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.where("reason is null").drop("reason", "item"), marked.where("reason is not null").select("device", "pos", "item", "reason")
 
 
+def load_globals(documents: DataFrame) -> DataFrame:
+    """K1. The defaults of a device's ``global`` block: (device, base_ms, max_ms, max_attempts, give_up_after, timezone,
+    on_permission, max_concurrent, bytes_per_sec, malformed), as :func:`resolve_policies` takes them.
+
+    A block with a part of the wrong type is malformed as a whole and sets nothing, and so is a document that isn't JSON;
+    an absent block sets nothing either. Numbers may be floats, of which the whole part counts. An unknown word for
+    ``onPermissionError`` drops that field only.
+    """
+    block = F.expr("try_variant_get(try_parse_json(json), '$.global', 'variant')")
+    d = documents.select("device", block.alias("g"), (F.col("json").isNotNull() & F.expr("try_parse_json(json)").isNull()).alias("broken"))
+
+    def value(path, kind):
+        return F.try_variant_get("g", f"$.{path}", kind)
+
+    def wrong(path, *kinds):
+        at = F.col("g") if path == "" else value(path, "variant")
+        return F.coalesce(~F.regexp_extract(F.schema_of_variant(at), "^[A-Z]+", 0).isin("VOID", *kinds), F.lit(False))
+
+    numbers = ("defaults.retry.baseDelayMs", "defaults.retry.maxDelayMs", "defaults.retry.maxAttempts", "limits.maxConcurrentFiles")
+    bad = F.col("broken")
+    for path in ("", "defaults", "defaults.retry", "limits"):
+        bad = bad | wrong(path, "OBJECT")
+    for path in ("defaults.timezone", "defaults.retry.giveUpAfter", "limits.maxBandwidth"):
+        bad = bad | wrong(path, "STRING")
+    for path in numbers:
+        bad = bad | wrong(path, "BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
+
+    def number(path):
+        given = value(path, "double")
+        return F.when(given.isNotNull(), F.greatest(F.lit(0), given)).cast("long")
+
+    word = value("onPermissionError", "string")
+    rate = byte_rate(value("limits.maxBandwidth", "string"))
+    base, longest, most, at_once = (number(p) for p in numbers)
+    fields = {
+        "base_ms": base, "max_ms": longest, "max_attempts": most, "give_up_after": value("defaults.retry.giveUpAfter", "string"), "timezone": value("defaults.timezone", "string"),
+        "on_permission": F.when(word.isin(*PERMISSION), word), "max_concurrent": at_once, "bytes_per_sec": rate,
+    }
+    return d.select("device", *[F.when(~bad, c).alias(n) for n, c in fields.items()], bad.alias("malformed"))
+
+
 def resolve_policies(instances: DataFrame, globals_: DataFrame) -> DataFrame:
     """C12. Instance, else the device's default, else built in, field by field; the longest delay is no shorter than the
     first; a time to give up that can't be read is the built-in one."""

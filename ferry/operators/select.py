@@ -38,17 +38,26 @@ def ready_by_glob(manifest: DataFrame, ready: list[str], exclude: list[str]) ->
     return select_globs(manifest, ready, exclude)
 
 
-def is_ready(manifest: DataFrame, policies: DataFrame, stable: DataFrame, ready: list[str], exclude: list[str], suffix: str = ".done") -> DataFrame:
+def is_ready(manifest: DataFrame, policies: DataFrame, stable: DataFrame, patterns: dict[str, tuple[list[str], list[str]]], suffix: str = ".done") -> DataFrame:
     """E4. Each instance's own strategy in one plan: stability, marker, glob or rename.
 
-    ``policies``(instance, strategy); ``stable``(instance, relpath) are the paths that E1 calls settled. An instance without
-    a policy takes stability. The signals are joined once and a CASE picks the one that counts.
+    ``policies``(instance, strategy[, suffix]); ``stable``(instance, relpath) are the paths that E1 calls settled;
+    ``patterns`` holds the ready and the excluded patterns of each instance that has any, compiled at plan time. An
+    instance without a policy takes stability, one without patterns has every listed file ready under glob, one without
+    a suffix takes ``suffix``. The signals are joined once and a CASE picks the one that counts.
     """
-    marked = ready_by_marker(manifest, suffix).select("instance", "relpath", F.lit(True).alias("_marked")).distinct()
+    own = F.coalesce("suffix", F.lit(suffix)) if "suffix" in policies.columns else F.lit(suffix)
+    held = policies.select("instance", "strategy", own.alias("_suffix"))
+    listed = manifest.join(held, "instance", "left")
+    marks = listed.where((F.col("strategy") == "marker") & F.col("relpath").endswith(F.col("_suffix")))
+    marks = marks.select("instance", F.expr("left(relpath, length(relpath) - length(_suffix))").alias("relpath"), F.lit(True).alias("_marked")).distinct()
     settled = stable.select("instance", "relpath", F.lit(True).alias("_stable")).distinct()
-    m = manifest.join(policies.select("instance", "strategy"), "instance", "left").join(marked, ["instance", "relpath"], "left").join(settled, ["instance", "relpath"], "left")
+    m = listed.join(marks, ["instance", "relpath"], "left").join(settled, ["instance", "relpath"], "left")
     s = F.coalesce("strategy", F.lit("stability"))
-    ok = F.when(s == "rename", True).when(s == "marker", F.coalesce("_marked", F.lit(False))).when(s == "glob", selected(F.col("relpath"), ready, exclude)).otherwise(F.coalesce("_stable", F.lit(False)))
+    wanted = F.lit(True)
+    for instance, (include, exclude) in patterns.items():
+        wanted = F.when(F.col("instance") == instance, selected(F.col("relpath"), include, exclude)).otherwise(wanted)
+    ok = F.when(s == "rename", True).when(s == "marker", F.coalesce("_marked", F.lit(False))).when(s == "glob", wanted).otherwise(F.coalesce("_stable", F.lit(False)))
     return m.where(ok).select(*manifest.columns)
 
 

@@ -514,10 +514,10 @@ def e03_ready_by_glob(v: Views) -> DataFrame:
     return select.ready_by_glob(v.manifest(), ["**/*.csv"], ["fr/**"]).select("instance", "relpath")
 
 
-@query("manifest", sql=f"""SELECT instance, relpath FROM ({MARKED}) m WHERE CASE instance WHEN 'inst-0' THEN TRUE WHEN 'inst-1' THEN relpath IN (SELECT relpath FROM manifest WHERE doc_id % 10 = 0) WHEN 'inst-2' THEN relpath LIKE '%.csv' ELSE relpath IN (SELECT relpath FROM manifest WHERE size % 2 = 0) END""")
+@query("manifest", sql=f"""SELECT instance, relpath FROM ({MARKED}) m WHERE CASE instance WHEN 'inst-0' THEN relpath LIKE '%.csv' AND relpath NOT LIKE 'fr/%' WHEN 'inst-1' THEN relpath IN (SELECT relpath FROM manifest WHERE doc_id % 10 = 0) WHEN 'inst-2' THEN relpath LIKE 'en/%' ELSE relpath IN (SELECT relpath FROM manifest WHERE size % 2 = 0) END""")
 def e04_is_ready(v: Views) -> DataFrame:
-    pol = v.spark.createDataFrame([("inst-0", "rename"), ("inst-1", "marker"), ("inst-2", "glob"), ("inst-3", "stability")], "instance string, strategy string")
-    return select.is_ready(_marked(v), pol, v.manifest().where("size % 2 = 0"), ["*.csv"], [])
+    pol = v.spark.createDataFrame([("inst-0", "glob"), ("inst-1", "marker"), ("inst-2", "glob"), ("inst-3", "stability")], "instance string, strategy string")
+    return select.is_ready(_marked(v), pol, v.manifest().where("size % 2 = 0"), {"inst-0": (["**/*.csv"], ["fr/**"]), "inst-2": (["en/**"], [])})
 
 
 @query("outcomes", sql=f"""SELECT seq, new_attempts, CASE WHEN reason IS NULL THEN 'retry' ELSE 'give_up' END AS decision, reason, CASE WHEN reason IS NULL THEN greatest(1, least(500 * (1 << least(CAST(new_attempts AS INT) - 1, 32)), 900000)) END AS delay_cap_ms FROM (
@@ -785,6 +785,16 @@ def k01_rejected_policies(v: Views) -> DataFrame:
     return policy.load_policies(_documents(v))[1].groupBy("device", "reason").agg(F.count("*").alias("n"))
 
 
+@query(sql=f"""WITH g AS (SELECT *, s_suppkey % 7 = 5 AS malformed FROM supplier) SELECT s_suppkey AS device, malformed, CASE WHEN NOT malformed THEN s_suppkey % 9 END AS base_ms, CASE WHEN NOT malformed THEN {RATE_BPS} END AS bytes_per_sec,
+    CASE WHEN NOT malformed THEN s_name END AS timezone, CASE WHEN NOT malformed AND s_suppkey % 3 = 0 THEN 'fatal' END AS on_permission FROM g WHERE s_suppkey % 11 > 0 UNION ALL SELECT s_suppkey, FALSE, NULL, NULL, NULL, NULL FROM supplier WHERE s_suppkey % 11 = 0""")
+def k01_load_globals(v: Views) -> DataFrame:
+    """Blocks with a number that is text are malformed; some devices have no block."""
+    block = f"""named_struct('limits', named_struct('maxBandwidth', {RATE}), 'defaults', named_struct('timezone', s_name, 'retry', named_struct('baseDelayMs', s_suppkey % 9 + 0.5D)), 'onPermissionError', if(s_suppkey % 3 = 0, 'fatal', 'fatl'))"""
+    wrong = "named_struct('defaults', named_struct('timezone', s_name, 'retry', named_struct('baseDelayMs', '12')))"
+    docs = v.table("supplier").selectExpr("s_suppkey as device", f"""case when s_suppkey % 11 = 0 then '{{"instances":[]}}' when s_suppkey % 7 = 5 then to_json(named_struct('global', {wrong})) else to_json(named_struct('global', {block})) end as json""")
+    return policy.load_globals(docs).select("device", "malformed", "base_ms", "bytes_per_sec", "timezone", "on_permission")
+
+
 @query(sql="""WITH v AS (SELECT s_suppkey % 40 AS instance, s_suppkey AS seq, 'ingress ' || s_suppkey AS msg, s_name AS path FROM supplier WHERE s_suppkey % 3 = 0), g AS (SELECT instance, string_agg(msg, '; ' ORDER BY seq) AS reason, arg_min(path, seq) AS path FROM v GROUP BY ALL),
 p AS (SELECT DISTINCT s_suppkey % 40 AS instance FROM supplier) SELECT instance, CASE WHEN reason IS NULL OR instance % 3 = 2 THEN 'start' WHEN instance % 3 = 1 THEN 'fatal' ELSE 'skip' END AS outcome, reason, path FROM p LEFT JOIN g USING (instance)""")
 def k03_startup_outcome(v: Views) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ferry.functions.keys import byte_rate, dest_key, duration_ms, glob_regex
-from ferry.operators import integrity, ledger, parts, ready, retry, schedule, select, throttle
+from ferry.operators import integrity, ledger, parts, policy, ready, retry, schedule, select, throttle
 from ferry.plans.scratch import Scratch
 from ferry.sources import files
 
@@ -214,3 +214,29 @@ def test_crc32c_in_lanes_is_the_plain_one():
     for n in (4_095, 4_096, 5_001, 65_537, 300_000):
         d = rng.randbytes(n)
         assert integrity.crc32c(d, 7) == integrity._plain(d, 7 ^ 0xFFFFFFFF) ^ 0xFFFFFFFF
+
+
+def test_each_instance_has_its_own_strategy_patterns_and_suffix(spark):
+    m = spark.createDataFrame([(i, f) for i in "abcde" for f in ("x.csv", "x.csv.ok", "y.txt", "y.txt.done")], "instance string, relpath string")
+    pol = spark.createDataFrame([("a", "marker", ".ok"), ("b", "marker", None), ("c", "glob", None), ("d", "glob", None)], "instance string, strategy string, suffix string")
+    stable = spark.createDataFrame([("e", "y.txt"), ("a", "y.txt")], "instance string, relpath string")
+    got = {(r["instance"], r["relpath"]) for r in select.is_ready(m, pol, stable, {"c": (["*.csv"], [])}).collect()}
+    assert got == {("a", "x.csv"), ("b", "y.txt"), ("c", "x.csv"), ("e", "y.txt")} | {("d", f) for f in ("x.csv", "x.csv.ok", "y.txt", "y.txt.done")}
+
+
+@pytest.mark.parametrize(
+    "text, base, zone, malformed",
+    [
+        ('{"global":{"defaults":{"timezone":"UTC","retry":{"baseDelayMs":7.9}}}}', 7, "UTC", False),
+        ('{"global":{"defaults":{"timezone":"UTC","retry":{"baseDelayMs":"7"}}}}', None, None, True),
+        ('{"global":{"defaults":{"timezone":1,"retry":{"baseDelayMs":7}}}}', None, None, True),
+        ('{"global":{"defaults":{"timezone":null,"retry":{"baseDelayMs":-7}}}}', 0, None, False),
+        ('{"global":[1]}', None, None, True),
+        ('{"instances":[]}', None, None, False),
+        ("{", None, None, True),
+        (None, None, None, False),
+    ],
+)
+def test_a_malformed_global_block_sets_nothing(spark, text, base, zone, malformed):
+    r = policy.load_globals(spark.createDataFrame([(1, text)], "device int, json string")).first()
+    assert (r["base_ms"], r["timezone"], r["malformed"]) == (base, zone, malformed)
