@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferry.llm.text import veiled, word_count
@@ -92,14 +92,10 @@ def _copies(hist: DataFrame, state: DataFrame, most: int, passes: int = 5) -> Da
     return c.select("source", "size", "n", F.col("m").cast("long").alias("m"))
 
 
-def mix(docs: DataFrame, scratch: Scratch, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: int = 2, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", bucket: int = 1024) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies): how often the mix takes each document.
+def _ranked(docs: DataFrame, scratch: Scratch, weights: Sequence[float], share: float, most: int, id_col: str, source_col: str, text_col: str, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """(every row with its place in its class, the classes). A class is a source and a size: n rows that get m copies.
 
-    Size is the number of words. Everything about rates depends on source and size only, so the solver and the rounding
-    work on the histogram of sizes per source (as many rows as there are distinct sizes). Within one source and size the
-    copies go to documents in order of a hash of the id, ranked in buckets of about ``bucket`` rows, so that thousands of
-    equal documents are spread; equal rows may swap places, which changes nothing. Null text has size 0; null source is a
-    source of its own; documents of size 0 are taken as their rate says, with no words. Empty table: empty result.
+    Rows are (id, source, size, n, m, source_size, target, h, bk, rn, off): rank ``off + rn`` by bucket, then hash, then id.
     """
     base = scratch.save(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sized")
     hist = scratch.save(base.groupBy("source", "size").agg(F.count("*").alias("n")), "sizes")
@@ -111,33 +107,70 @@ def mix(docs: DataFrame, scratch: Scratch, weights: Sequence[float] = (5, 2, 1),
 
     b, c = base.alias("b"), classes.alias("c")
     rows = b.join(c, (F.col("b.size") == F.col("c.size")) & F.col("b.source").eqNullSafe(F.col("c.source"))).select("b.*", "n", "m", "source_size", "target")
-    rows = scratch.save(rows.withColumn("h", F.xxhash64("id", F.lit(7))).withColumn("bk", F.pmod(F.col("h"), F.greatest(F.lit(1), F.ceil(F.col("n") / bucket)))), "dealt")
+    rows = scratch.save(rows.withColumn("h", _spread(F.col("id"))).withColumn("bk", _bucket(F.col("h"), F.col("n"), bucket)), "dealt")
     counts = rows.groupBy("source", "size", "bk").agg(F.count("*").alias("k"))
     before = Window.partitionBy("source", "size").orderBy("bk").rowsBetween(Window.unboundedPreceding, -1)
     off = scratch.save(counts.select("source", "size", "bk", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("off")), "offsets")
-    ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy("source", "size", "bk").orderBy("h", "id")))
+    in_bucket = Window.partitionBy("source", "size", "bk").orderBy("h", "id")
+    ranked = rows.withColumn("rn", F.row_number().over(in_bucket)).withColumn("next_h", F.lead("h").over(in_bucket))
     r, o = ranked.alias("r"), off.alias("o")
-    out = r.join(o, F.col("r.source").eqNullSafe(F.col("o.source")) & (F.col("r.size") == F.col("o.size")) & (F.col("r.bk") == F.col("o.bk"))).select("r.*", "off")
+    met = r.join(o, F.col("r.source").eqNullSafe(F.col("o.source")) & (F.col("r.size") == F.col("o.size")) & (F.col("r.bk") == F.col("o.bk"))).select("r.*", "off")
+    return met, classes
+
+
+def _spread(id_: Column) -> Column:
+    return F.xxhash64(id_, F.lit(7))
+
+
+def _bucket(h: Column, n: Column, bucket: int) -> Column:
+    return F.pmod(h, F.greatest(F.lit(1), F.ceil(n / bucket)))
+
+
+def mix(docs: DataFrame, scratch: Scratch, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: int = 2, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", bucket: int = 1024) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies): how often the mix takes each document.
+
+    Size is the number of words. Everything about rates depends on source and size only, so the solver and the rounding
+    work on the histogram of sizes per source (as many rows as there are distinct sizes). Within one source and size the
+    copies go to documents in order of a hash of the id, ranked in buckets of about ``bucket`` rows, so that thousands of
+    equal documents are spread; equal rows may swap places, which changes nothing. Null text has size 0; null source is a
+    source of its own; documents of size 0 are taken as their rate says, with no words. Empty table: empty result.
+    """
+    out, _ = _ranked(docs, scratch, weights, share, most, id_col, source_col, text_col, bucket)
     copies = F.floor(F.col("m") / F.col("n")) + F.when(F.col("off") + F.col("rn") <= F.pmod(F.col("m"), F.col("n")), 1).otherwise(0)
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
-def take_mix(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as it is taken, with all its columns.
+def take_mix(docs: DataFrame, scratch: Scratch, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: int = 2, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", bucket: int = 1024) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as :func:`mix` takes it, with all its columns.
 
-    Decisions travel by id. Rows that repeat an id within a source, at the same size, share the copies they get together,
-    one more for the first of them where these do not divide evenly; only where there are such rows do they meet.
+    What travels is a row per source and size: the copies all its documents get and the place in the order of the hashes
+    up to which they get one more. Each document's hash is compared with it in the scan, so no text is shuffled while that
+    table is small enough for a broadcast, and AQE splits hot sizes where it is not. Where the place falls among rows of one hash (rows
+    that repeat an id), these share what is due to them in an order of their columns; only where there are such rows do
+    they meet.
     """
-    got = mix(docs, scratch, id_col=id_col, source_col=source_col, **options)
-    got = got.groupBy(F.col(id_col).alias("_i"), F.col(source_col).alias("_s"), F.col("size").alias("_z")).agg(F.sum("copies").cast("int").alias("_t"), F.count("*").cast("int").alias("_n"))
-    got = scratch.save(got.where("_t > 0"), "taken")
+    ranked, classes = _ranked(docs, scratch, weights, share, most, id_col, source_col, text_col, bucket)
+    last = ranked.where(F.col("off") + F.col("rn") == F.pmod(F.col("m"), F.col("n")))
+    last = last.select(F.col("source").alias("_s1"), F.col("size").alias("_z1"), F.col("bk").alias("_cb"), F.col("h").alias("_ch"), F.coalesce(F.col("next_h") == F.col("h"), F.lit(False)).alias("_tied"), F.pmod(F.col("m"), F.col("n")).alias("_extra"), "off")
+    last = scratch.save(last, "last")
+    plan = classes.join(last, F.col("source").eqNullSafe(F.col("_s1")) & (F.col("size") == F.col("_z1")), "left").where("m > 0")
+    plan = plan.select(F.col("source").alias("_s"), F.col("size").alias("_z"), F.floor(F.col("m") / F.col("n")).alias("_each"), F.col("n").alias("_n"), "_cb", "_ch", F.coalesce("_tied", F.lit(False)).alias("_tied"), "_extra", F.col("off").alias("_off"))
+    plan = scratch.save(plan, "plan")
+
     inner, names = veiled(docs)
-    sized = inner.withColumn("_z0", word_count(F.col(names[options.get("text_col", "text")])))
-    met = sized.join(got, F.col(names[id_col]).eqNullSafe(F.col("_i")) & F.col(names[source_col]).eqNullSafe(F.col("_s")) & (F.col("_z0") == F.col("_z")))
-    taken = met.where("_n = 1").withColumn("_copies", F.col("_t"))
-    if got.where("_n > 1").limit(1).count():
-        first = F.row_number().over(Window.partitionBy("_i", "_s", "_z").orderBy(F.xxhash64(*names.values())))
-        share = F.floor(F.col("_t") / F.col("_n")) + F.when(first <= F.col("_t") % F.col("_n"), 1).otherwise(0)
-        taken = taken.unionByName(met.where("_n > 1").withColumn("_copies", share.cast("int")))
-    taken = taken.where("_copies > 0").withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    sized = inner.withColumn("_z0", word_count(F.col(names[text_col]))).withColumn("_h", _spread(F.col(names[id_col])))
+    met = sized.join(plan, F.col(names[source_col]).eqNullSafe(F.col("_s")) & (F.col("_z0") == F.col("_z"))).withColumn("_b", _bucket(F.col("_h"), F.col("_n"), bucket))
+    at_cut = F.coalesce((F.col("_b") == F.col("_cb")) & (F.col("_h") == F.col("_ch")), F.lit(False))
+    within = F.coalesce((F.col("_b") < F.col("_cb")) | ((F.col("_b") == F.col("_cb")) & (F.col("_h") <= F.col("_ch"))), F.lit(False))
+    tied = F.col("_tied") & at_cut
+    taken = met.where(~tied).withColumn("_copies", (F.col("_each") + within.cast("int")).cast("int"))
+    if plan.where("_tied").limit(1).count():
+        # rows of the hash at the cut come after those of smaller hashes of their bucket
+        smaller = ranked.join(plan.where("_tied").select("_s", "_z", F.col("_cb").alias("_b1"), F.col("_ch").alias("_h1")), F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("bk") == F.col("_b1")) & (F.col("h") < F.col("_h1")))
+        smaller = scratch.save(smaller.groupBy(F.col("_s").alias("_s2"), F.col("_z").alias("_z2")).agg(F.count("*").alias("_under")), "under")
+        ends = met.where(tied).join(smaller, F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("_z") == F.col("_z2")), "left")
+        due = F.col("_extra") - F.col("_off") - F.coalesce("_under", F.lit(0))
+        first = F.row_number().over(Window.partitionBy("_s", "_z").orderBy(names[id_col], F.xxhash64(*names.values())))
+        taken = taken.unionByName(ends.withColumn("_copies", (F.col("_each") + (first <= due).cast("int")).cast("int")).drop("_s2", "_z2", "_under"))
+    taken = taken.where("_copies > 0").withColumn("_one", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return taken.select(*[F.col(a).alias(c) for c, a in names.items()])
