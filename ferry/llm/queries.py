@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferry.llm import chat, embeddings, exact_dedup, langid, mixing, packing, pii, quality, simhash, warc
+from ferry.llm import alignment, chat, clusters, embeddings, exact_dedup, langid, mixing, packing, pieces, pii, quality, simhash, warc
 from ferry.llm.text import ascii_lower
 from ferry.plans.scratch import Scratch
 
@@ -25,6 +25,13 @@ def tokenizer() -> tuple[str, str]:
     return str(public.path("byte_bpe_50k.tiktoken")), public.PATTERN
 
 
+def piece_model() -> str:
+    """The public SentencePiece BPE model."""
+    import public_tokenizers as public
+
+    return str(public.path("piece_bpe_32k.model"))
+
+
 def op1_pii_semi_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = pii.detect(docs, pii.train(docs))
@@ -93,6 +100,29 @@ def op10_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "op11")
+    assigned, centroids = clusters.cluster(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), scratch)
+    got = clusters.with_inertia(assigned.select("vec_id", "cluster", "distance"), centroids, scratch)
+    return got.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode(_table(spark, sf_dir, "documents"), piece_model())
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    encoded = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), "ids")
+    return pieces.decode(encoded, piece_model()).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = (*tokenizer(), piece_model())
+    aligned = alignment.align(_table(spark, sf_dir, "documents"), *both)
+    said = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    rows = aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_shared", said, "links")
+    got = alignment.weigh(rows, Scratch(spark, "op13"), *both)
+    return got.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_shared")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -100,7 +130,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_pii_semi_crf, op2_exact_dedup, op3_best_fit_packing, op4_language_id, op5_embedding_near_dedup, op6_quality_ordinal, op7_mix_sources, op8_simhash_near_dedup, op9_chat_collapse, op10_warc_reassembly, pipeline]
+    own = [op1_pii_semi_crf, op2_exact_dedup, op3_best_fit_packing, op4_language_id, op5_embedding_near_dedup, op6_quality_ordinal, op7_mix_sources, op8_simhash_near_dedup, op9_chat_collapse, op10_warc_reassembly, op11_centroid_clustering, op12_sentencepiece, op13_tokenizer_alignment, pipeline]
     return {f.__name__: f for f in own}
 
 
