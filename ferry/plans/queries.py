@@ -15,6 +15,7 @@ from ferry.operators import integrity, ledger, metrics, parts, policy, ready, re
 from ferry.plans.scratch import Scratch
 from ferry.plans.views import NOW, START, Views, with_views
 from ferry.sources import files
+from ferry.sources.snapshots import Snapshots
 from ferry.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -140,13 +141,44 @@ def a08_write_quarantine(v: Views) -> DataFrame:
     return v.spark.read.schema("instance string, relpath string, last_error string, attempts long, first_seen long, last_try long, destination string, bytes_done long").json(s.path("dead")).select(*rows.columns)
 
 
-@query("ledger", sql="SELECT instance, relpath, state, CASE WHEN state = 'failed' THEN attempts + 1 ELSE attempts END AS attempts FROM ledger")
+_NEXT = {"ready": "in_progress", "in_progress": "verified", "verified": "completed", "completed": "ready", "failed": "ready", "exhausted": "quarantined", "quarantined": "ready", "retained": "ready"}
+_NEXT_SQL = "CASE state " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _NEXT.items()) + " END"
+
+
+def _versions(v: Views, s: Scratch) -> str:
+    """A ledger of four versions: whole, every item moved to its next state or removed, compacted, some failed again."""
+    path = s.path("ledger")
+    lg = v.ledger().select("instance", "relpath", "state", "attempts", "updated_at", "doc_id")
+    files.write_ledger(lg, path)
+    moved = lg.withColumn("state", F.expr(_NEXT_SQL)).withColumn("attempts", F.col("attempts") + 1)
+    stale = lg.where("doc_id % 3 = 0").withColumn("state", F.lit("failed"))
+    both = moved.withColumn("updated_at", F.col("updated_at") + 2).unionByName(stale.withColumn("updated_at", F.col("updated_at") + 1))
+    kept = Snapshots(v.spark, path, order=("updated_at",))
+    kept.append(both, F.expr("doc_id % 10 = 1"))
+    kept.compact()
+    files.update_ledger(moved.where("doc_id % 4 = 0 and doc_id % 10 <> 1").withColumn("state", F.lit("failed")), path)
+    kept._write(lg.withColumn("state", F.lit("ready")), None)  # a write that was cut off before its version
+    return path
+
+
+@query("ledger", sql=f"SELECT instance, relpath, CASE WHEN doc_id % 4 = 0 THEN 'failed' ELSE {_NEXT_SQL} END AS state, attempts + 1 AS attempts FROM ledger WHERE doc_id % 10 <> 1")
 def a09_ledger_snapshot(v: Views) -> DataFrame:
-    s = Scratch(v.spark, "a09")
-    lg = v.ledger().select("instance", "relpath", "attempts", "state")
-    files.write_ledger(lg, s.path("ledger"))
-    files.write_ledger(lg.where("state = 'failed'").withColumn("attempts", F.col("attempts") + 1), s.path("ledger"))
-    return v.spark.read.schema("instance string, relpath string, attempts long, state string").parquet(s.path("ledger"))
+    """The latest version: every item changed its state, and each appears once."""
+    return files.read_ledger(v.spark, _versions(v, Scratch(v.spark, "a09"))).select("instance", "relpath", "state", "attempts")
+
+
+@query("ledger", sql=f"""WITH m AS (SELECT doc_id, {_NEXT_SQL} AS state FROM ledger WHERE doc_id % 10 <> 1), f AS (SELECT CASE WHEN doc_id % 4 = 0 THEN 'failed' ELSE state END AS state FROM m)
+SELECT 1 AS version, 'replace' AS kind, state, count(*) AS n FROM ledger GROUP BY state UNION ALL SELECT 2, 'append', state, count(*) FROM m GROUP BY state
+UNION ALL SELECT 3, 'compact', state, count(*) FROM m GROUP BY state UNION ALL SELECT 4, 'append', state, count(*) FROM f GROUP BY state""")
+def a09_ledger_versions(v: Views) -> DataFrame:
+    """Every version that is kept, read as it was: items by state."""
+    path = _versions(v, Scratch(v.spark, "a09v"))
+    kept = Snapshots(v.spark, path, order=("updated_at",))
+    out = None
+    for version in kept.versions():
+        one = files.read_ledger(v.spark, path, version=version).groupBy("state").agg(F.count("*").alias("n")).withColumn("version", F.lit(version).cast("long"))
+        out = one if out is None else out.unionByName(one)
+    return out.join(kept.history().select("version", "kind"), "version").select("version", "kind", "state", "n")
 
 
 # --- B: projections and predicates
