@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,7 +13,7 @@ from ferry.operators import events as ev
 from ferry.operators import integrity, ledger, metrics, parts, policy, ready, retry, schedule, select, status, throttle
 from ferry.plans.scratch import Scratch
 from ferry.plans.views import NOW, START, Views, with_views
-from ferry.sources import files
+from ferry.sources import files, store
 from ferry.sources.snapshots import Snapshots
 from ferry.streaming import streams
 
@@ -67,13 +66,10 @@ def _tree(rows: DataFrame, root: str) -> DataFrame:
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            paths = []
-            for key, text in zip(pdf["relpath"], pdf["text"], strict=True):
-                p = os.path.join(root, key)
-                os.makedirs(os.path.dirname(p), exist_ok=True)
-                with open(p, "w", newline="", encoding="utf-8") as f:
-                    f.write(text or "")
-                paths.append(p)
+            paths = [store.join(root, key) for key in pdf["relpath"]]
+            for path, text in zip(paths, pdf["text"], strict=True):
+                with store.writing(path) as sink:
+                    sink.write((text or "").encode())
             yield pd.DataFrame({"path": paths, "key": pdf["relpath"], "size": pdf["size"]})
 
     return rows.select("relpath", "text", "size").mapInPandas(put, "path string, key string, size long")
@@ -87,7 +83,7 @@ def _bodies(v: Views) -> DataFrame:
 def a01_scan_manifest(v: Views) -> DataFrame:
     """A tree of files with empty markers and hidden names, listed (A1) and judged by its markers (C1)."""
     s = Scratch(v.spark, "a01")
-    root = s.path("tree").removeprefix("file://")
+    root = s.path("tree")
     body = _bodies(v).select("doc_id", "instance", "relpath", "text", "size")
     marks = body.where("doc_id % 10 = 0").withColumn("relpath", F.concat("relpath", F.lit(".done")))
     hidden = body.select("instance").distinct().withColumn("relpath", F.lit("_state/.hidden"))
@@ -101,23 +97,47 @@ def a01_scan_manifest(v: Views) -> DataFrame:
 @query("manifest", sql="SELECT m.relpath AS key, m.size AS bytes, sha256(d.text) AS hex FROM manifest m JOIN documents d USING (doc_id)")
 def a04_copy_files(v: Views) -> DataFrame:
     s = Scratch(v.spark, "a04")
-    src = _tree(_bodies(v), s.path("src").removeprefix("file://"))
-    return files.copy_files(s.save(src, "made"), s.path("dst").removeprefix("file://")).select("key", "bytes", "hex")
-
-
-@query("manifest", sql="""SELECT instance, relpath, CASE WHEN doc_id % 3 = 0 THEN 'left' WHEN doc_id % 5 = 0 THEN 'unverified' WHEN doc_id % 7 = 0 THEN 'deleted' ELSE 'moved' END AS outcome, CASE WHEN doc_id % 3 > 0 AND doc_id % 5 > 0 AND doc_id % 7 > 0 THEN size END AS archived FROM manifest""")
+    src = _tree(_bodies(v), s.path("src"))
+    return files.copy_files(s.save(src, "made"), s.path("dst")).select("key", "bytes", "hex")
+
+
+@query("manifest", sql="SELECT m.relpath AS key, m.size AS bytes, TRUE AS committed, greatest(1, (m.size + 1023) // 1024) AS n_parts, greatest(1, (m.size + 1023) // 1024) - (greatest(1, (m.size + 1023) // 1024) + 1) // 2 AS sent_again, sha256(d.text) AS hex FROM manifest m JOIN documents d USING (doc_id) WHERE m.size > 0")
+def a05_copy_large(v: Views) -> DataFrame:
+    """Objects in parts of 1 KiB: odd parts are sent, then only those that are missing, then each object is committed and
+    its bytes are read back."""
+    s = Scratch(v.spark, "a05")
+    made = s.save(_tree(_bodies(v).where("size > 0"), s.path("src")), "made")
+    n = F.greatest(F.lit(1), F.ceil(F.col("size") / 1024)).cast("long")
+    plan = made.select("path", "key", F.col("key").alias("object"), "size", F.lit(1024).cast("long").alias("part_size"), n.alias("num_parts"))
+    ranges = parts.explode_parts(plan)
+    s.save(files.copy_large(ranges.where("part % 2 = 1"), s.path("dst"), "size"), "first")
+    done = s.save(files.copy_large(ranges, s.path("dst"), "size"), "second")
+    out = s.save(files.assemble(done, plan, s.path("dst")), "outcomes")
+    sent = done.groupBy("key").agg(F.count("*").alias("n_parts"), F.count_if("sent").alias("sent_again"))
+    read = integrity.checksum_files(out.where("committed").select(F.concat(F.lit(s.path("dst") + "/"), "key").alias("path"), F.col("bytes").alias("size")), "sha256")
+    read = read.select(F.expr(f"substring(path, {len(s.path('dst')) + 2})").alias("key"), "hex")
+    return out.join(sent, "key").join(read, "key").select("key", "bytes", "committed", "n_parts", "sent_again", "hex")
+
+
+@query("manifest", sql="""WITH p AS (SELECT *, doc_id % 13 < 6 AS there, CASE doc_id % 4 WHEN 0 THEN 'fail' WHEN 1 THEN 'suffix' ELSE 'overwrite' END AS policy FROM manifest),
+o AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 'left' WHEN doc_id % 5 = 0 THEN 'unverified' WHEN doc_id % 7 = 0 THEN 'deleted' WHEN doc_id % 11 = 0 THEN 'no target' WHEN there AND policy = 'fail' THEN 'taken' ELSE 'moved' END AS outcome FROM p),
+f AS (SELECT *, CASE WHEN outcome = 'moved' THEN CASE WHEN there AND policy = 'suffix' THEN regexp_replace(relpath, '[.]([^.]*)$', '.1.\\1') ELSE relpath END END AS final FROM o)
+SELECT instance, relpath, outcome, final, CASE WHEN outcome = 'moved' THEN size END AS archived, CASE WHEN final = relpath THEN size WHEN there THEN 3 END AS at_target FROM f""")
 def a10_apply_actions(v: Views) -> DataFrame:
-    """Files are written, archived, deleted or left, twice, and the archive is listed."""
+    """Files are archived under every collision policy, deleted or left, twice, with rows that have no target among them, and
+    the archive is listed."""
     s = Scratch(v.spark, "a10")
-    root = s.path("tree").removeprefix("file://")
     body = _bodies(v).select("doc_id", "instance", F.concat_ws("/", "instance", "relpath").alias("relpath"), "text", "size")
-    s.save(_tree(body, f"{root}/src"), "made")
-    plan = body.select("instance", F.col("relpath").alias("key"), F.concat(F.lit(f"{root}/src/"), "relpath").alias("path"), F.expr("case when doc_id % 3 = 0 then 'leave' when doc_id % 7 = 0 then 'delete' else 'archive' end").alias("action"), F.concat(F.lit(f"{root}/arch/"), "relpath").alias("target"), F.expr("doc_id % 5 <> 0").alias("verified"), "size")
+    s.save(_tree(body, s.path("src")), "made")
+    s.save(_tree(body.where("doc_id % 13 < 6").withColumn("text", F.lit("old")), s.path("arch")), "old")
+    target = F.when(F.expr("doc_id % 11 <> 0"), F.concat(F.lit(f"{s.path('arch')}/"), "relpath"))
+    plan = body.select("instance", F.col("relpath").alias("key"), F.concat(F.lit(f"{s.path('src')}/"), "relpath").alias("path"), F.expr("case when doc_id % 3 = 0 then 'leave' when doc_id % 7 = 0 then 'delete' else 'archive' end").alias("action"), target.alias("target"), F.expr("doc_id % 5 <> 0").alias("verified"), "size", F.sha2("text", 256).alias("hex"), F.expr("case doc_id % 4 when 0 then 'fail' when 1 then 'suffix' else 'overwrite' end").alias("collision"))
     files.apply_actions(plan, Scratch(v.spark, "a10-first"))
-    done = files.apply_actions(plan, Scratch(v.spark, "a10-again")).select("path", "outcome")
-    kept = files.scan_manifest(v.spark, {"arch": f"{root}/arch"}).select(F.col("relpath").alias("key"), F.col("size").alias("archived"))
-    out = plan.join(done, "path").join(kept, "key", "left")
-    return out.select("instance", F.expr("substring(key, length(instance) + 2)").alias("relpath"), "outcome", "archived")
+    done = files.apply_actions(plan, Scratch(v.spark, "a10-again")).select("path", "outcome", F.when(F.col("outcome") == "moved", F.expr(f"substring(final, {len(s.path('arch')) + 2})")).alias("final"))
+    kept = s.save(files.scan_manifest(v.spark, {"arch": s.path("arch")}).select("relpath", F.col("size")), "kept")
+    out = plan.join(done, "path").join(kept.toDF("final", "archived"), "final", "left").join(kept.toDF("key", "at_target"), "key", "left")
+    tail = "substring({}, length(instance) + 2)"
+    return out.select("instance", F.expr(tail.format("key")).alias("relpath"), "outcome", F.expr(tail.format("final")).alias("final"), "archived", "at_target")
 
 
 def _enriched(v: Views) -> DataFrame:
