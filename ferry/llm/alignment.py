@@ -7,16 +7,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferry.llm.packing import encoder
-from ferry.llm.pieces import SPACE, Lookup, chunks, offsets, ragged, vocabulary
+from ferry.llm.pieces import SPACE, Lookup, offsets, ragged, vocabulary
 from ferry.plans.scratch import Scratch
 
-#: Characters whose documents share one block matrix, and entries of a product that are formed at a time.
-CHUNK, BLOCK = 1_000_000, 1 << 20
+#: Bytes of text whose documents share one block matrix, and entries of a product that are formed at a time.
+CHUNK, BLOCK = 250_000, 1 << 18
 _TABLES: dict[tuple[str, str, str], Tables] = {}
 
 
@@ -120,6 +121,16 @@ class Tables:
         return a[np.repeat(ok, n_a)], np.where(ok, n_a, 0), b[np.repeat(ok, n_b)].astype(np.int64), np.where(ok, n_b, 0)
 
 
+def parts(batch: pa.RecordBatch, limit: int = CHUNK) -> Iterator[tuple[pa.Array, list[str]]]:
+    """(ids, texts) of rows that have about ``limit`` bytes of text together; only these become Python's strings."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy())
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + limit, side="right")))
+        yield batch.column(0).slice(lo, hi - lo), [x or "" for x in batch.column(1).slice(lo, hi - lo).to_pylist()]
+        lo = hi
+
+
 def tables(ranks_path: str, pattern: str, model_path: str) -> Tables:
     """The tables of two tokenizers, one per Python process."""
     key = (ranks_path, pattern, model_path)
@@ -194,20 +205,19 @@ def align(docs: DataFrame, ranks_path: str, pattern: str, model_path: str, id_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tables(ranks_path, pattern, model_path)
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for lo, hi in chunks(texts, CHUNK):
-                x = Aligned.of(t, texts[lo:hi])
+            for ids, texts in parts(batch):
+                x = Aligned.of(t, texts)
                 ends = x.ends()
                 group_a, group_b = x.groups(ends)
                 each = np.searchsorted(np.cumsum(x.n_a), ends[0], side="right")
-                n_links = np.bincount(each, minlength=hi - lo)
-                doc_a = np.repeat(np.arange(hi - lo), x.n_a)
-                shared = np.bincount(doc_a, group_b.transposed().sizes[group_a.cols], hi - lo).astype(np.int64)
+                n_links = np.bincount(each, minlength=len(texts))
+                doc_a = np.repeat(np.arange(len(texts)), x.n_a)
+                shared = np.bincount(doc_a, group_b.transposed().sizes[group_a.cols], len(texts)).astype(np.int64)
                 number = t.keys.find(x.a[ends[0]] * t.width + x.b[ends[1]])
                 lists = pa.ListArray.from_arrays(pa.array(offsets(n_links), pa.int32()), pa.array(number, pa.int32()))
                 longs = [pa.array(c, pa.int64()) for c in (x.n_a, x.n_b, n_links, n_links, shared)]
                 said = pa.array(x.said(t, group_a, group_b), pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *longs, said, lists], names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_shared", "groups", "links"])
+                yield pa.RecordBatch.from_arrays([ids, *longs, said, lists], names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_shared", "groups", "links"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_shared long, groups string, links array<int>")
@@ -225,9 +235,8 @@ def linked_tokens(docs: DataFrame, ranks_path: str, pattern: str, model_path: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tables(ranks_path, pattern, model_path)
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for lo, hi in chunks(texts, CHUNK):
-                x, ids = Aligned.of(t, texts[lo:hi]), batch.column(0).slice(lo, hi - lo)
+            for ids, texts in parts(batch):
+                x = Aligned.of(t, texts)
                 if kind == "shared":
                     group_a, group_b = x.groups(x.ends())
                     found = product(group_a, group_b.transposed())
