@@ -13,6 +13,14 @@ def interval(ms: Column, width: int = INTERVAL_MS) -> Column:
     return F.floor(ms / width).cast("long") * width
 
 
+def _grouped(df: DataFrame, keys: list, aggs: list[Column]) -> DataFrame:
+    """Aggregates by interval and keys; of a stream, whose event time is ``_ts``, over its event-time windows."""
+    if not df.isStreaming:
+        return df.groupBy(interval(F.col("ts_ms")).alias("interval_ms"), *keys).agg(*aggs)
+    got = df.groupBy(F.window("_ts", f"{INTERVAL_MS} milliseconds"), *keys).agg(*aggs)
+    return got.select(F.unix_millis("window.start").alias("interval_ms"), *[c for c in got.columns if c != "window"])
+
+
 def scan_report(listing: DataFrame, issues: DataFrame) -> DataFrame:
     """D9. discovered, ready, ignored, errors and permission_denied by instance and strategy.
 
@@ -27,7 +35,7 @@ def scan_report(listing: DataFrame, issues: DataFrame) -> DataFrame:
 def metrics_discovery(scans: DataFrame) -> DataFrame:
     """D11. Scans (instance, strategy, ts_ms, duration_ms, discovered, ready, ignored, errors, denied) by interval."""
     sums = [F.sum(c).alias(c) for c in ("duration_ms", "discovered", "ready", "ignored", "errors", "denied")]
-    return scans.groupBy(interval(F.col("ts_ms")).alias("interval_ms"), "instance", "strategy").agg(F.count("*").alias("scans"), *sums)
+    return _grouped(scans, ["instance", "strategy"], [F.count("*").alias("scans"), *sums])
 
 
 def metrics_queue(ledger: DataFrame, now_ms: int) -> DataFrame:
@@ -54,10 +62,10 @@ def metrics_transfer(attempts: DataFrame) -> DataFrame:
     kind = F.when(several, "multi").otherwise(F.col("dest_type")).alias("destination_type")
     good = F.col("result") == "replicated"
     rate = F.when(good, F.when(F.col("duration_ms") > 0, F.col("bytes") * 1000 / F.col("duration_ms")).otherwise(F.col("bytes").cast("double")))
-    return attempts.groupBy(interval(F.col("ts_ms")).alias("interval_ms"), "instance", kind, "result").agg(
+    return _grouped(attempts, ["instance", kind, "result"], [
         F.count("*").alias("files"), F.sum(F.when(good, F.col("bytes")).otherwise(0)).alias("bytes_replicated"), F.sum("duration_ms").alias("duration_ms"), F.max(rate).alias("peak_bytes_per_sec"),
         F.count_if("retry").alias("retries"), F.count_if(F.col("result") == "verification-failed").alias("verification_failures"), F.count_if("resumed").alias("resume_recoveries"),
-    )
+    ])
 
 
 def metrics_destination(links: DataFrame) -> DataFrame:
@@ -65,24 +73,33 @@ def metrics_destination(links: DataFrame) -> DataFrame:
     def bucket(name):
         return F.count_if(F.col("bucket") == name)
 
-    return links.groupBy(interval(F.col("ts_ms")).alias("interval_ms"), "instance", "dest_type").agg(
+    return _grouped(links, ["instance", "dest_type"], [
         F.max_by("link", F.struct("ts_ms", "seq")).alias("link_connected"), bucket("connectFailures").alias("connect_failures"), bucket("authFailures").alias("auth_failures"),
         bucket("writeFailures").alias("write_failures"), F.sum("throttle_ms").alias("throttle_delay_ms"), F.max("limit_bps").alias("limit_bytes_per_sec"),
-    )
+    ])
 
 
 def metrics_schedule(decisions: DataFrame) -> DataFrame:
     """D15. Decisions (instance, mode, ts_ms, active, open, triggered, admitted, backlog, released) by interval."""
     none = ~F.col("admitted")
-    return decisions.groupBy(interval(F.col("ts_ms")).alias("interval_ms"), "instance", "mode").agg(
+    return _grouped(decisions, ["instance", "mode"], [
         F.max(F.col("active").cast("int")).alias("active"), F.count_if("open").alias("window_open"), F.count_if("triggered").alias("triggers"), F.count_if(none).alias("skipped"),
         F.count_if(none & (F.col("backlog") > 0)).alias("blocked"), F.sum("released").alias("released"),
-    )
+    ])
+
+
+TOTALS = ("replicated", "bytes", "failed")
+
+
+def compat_deltas(results: DataFrame) -> DataFrame:
+    """Replicated and failed items and bytes by interval and instance."""
+    good = F.col("result") == "replicated"
+    aggs = [F.count_if(good).alias("replicated_delta"), F.coalesce(F.sum(F.when(good, F.col("bytes"))), F.lit(0)).alias("bytes_delta"), F.count_if(F.col("result") == "failed").alias("failed_delta")]
+    return _grouped(results, ["instance"], aggs).select("instance", "interval_ms", *[f"{c}_delta" for c in TOTALS])
 
 
 def metrics_compat(results: DataFrame) -> DataFrame:
     """D16. Deltas of each interval and running totals beside them. The window runs over intervals, not rows."""
-    good = F.col("result") == "replicated"
-    d = results.groupBy("instance", interval(F.col("ts_ms")).alias("interval_ms")).agg(F.count_if(good).alias("replicated_delta"), F.coalesce(F.sum(F.when(good, F.col("bytes"))), F.lit(0)).alias("bytes_delta"), F.count_if(F.col("result") == "failed").alias("failed_delta"))
+    d = compat_deltas(results)
     w = Window.partitionBy("instance").orderBy("interval_ms").rowsBetween(Window.unboundedPreceding, 0)
-    return d.select("*", *[F.sum(f"{c}_delta").over(w).alias(f"{c}_total") for c in ("replicated", "bytes", "failed")])
+    return d.select("*", *[F.sum(f"{c}_delta").over(w).alias(f"{c}_total") for c in TOTALS])

@@ -15,7 +15,7 @@ from ferry.plans.scratch import Scratch
 from ferry.plans.views import NOW, START, Views, with_views
 from ferry.sources import files, store
 from ferry.sources.snapshots import Snapshots
-from ferry.streaming import streams
+from ferry.streaming import stateful, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,21 +33,23 @@ def query(*views: str, sql: str | None = None) -> Callable:
 
 
 def _stream(v: Views, df: DataFrame, name: str, batches: int = 4, order: str | None = None) -> tuple[DataFrame, Scratch]:
-    """A view as a stream: written to the shared folder in a few files, read one at a time in order of time."""
+    """A view as a stream: written to the shared folder in a few files, in one pass, that are read one at a time. With
+    ``order`` they are ranges of it, and the source takes them in that order as their file times rise with it."""
     s = Scratch(v.spark, name)
-    if order is None:
-        part = F.pmod(F.xxhash64(*df.columns), F.lit(batches))
-    else:
-        at = F.col(order).cast("double")
-        cuts = df.select(at.alias("x")).approxQuantile("x", [i / batches for i in range(1, batches)], 0.01)
-        part = sum((F.when(at > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    for i in range(batches):
-        df.where(part == i).coalesce(1).write.mode("append").parquet(s.path("in"))
+    dealt = df.repartitionByRange(batches, order) if order else df.repartition(batches, F.xxhash64(*df.columns))
+    dealt.write.parquet(s.path("in"))
+    if order:
+        folder = v.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.path("in"))
+        fs = folder.getFileSystem(v.spark.sparkContext._jsc.hadoopConfiguration())
+        made = sorted((f for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")), key=lambda f: f.getPath().getName())
+        for i, f in enumerate(made):
+            fs.setTimes(f.getPath(), made[0].getModificationTime() - 1000 * (len(made) - i), -1)
     return v.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(s.path("in")), s
 
 
 def _drain(out: DataFrame, s: Scratch, mode: str = "append") -> DataFrame:
-    q = out.writeStream.format("parquet").outputMode(mode).option("path", s.path("out")).option("checkpointLocation", s.path("cp")).trigger(availableNow=True).start()
+    with stateful.rocksdb(out.sparkSession):
+        q = out.writeStream.format("parquet").outputMode(mode).option("path", s.path("out")).option("checkpointLocation", s.path("cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     return out.sparkSession.read.schema(out.schema).parquet(s.path("out"))
 
@@ -94,6 +96,26 @@ def a01_scan_manifest(v: Views) -> DataFrame:
     return listed.join(ready, ["instance", "relpath"], "left").select("instance", "relpath", "size", F.coalesce("_ready", F.lit(False)).alias("ready"))
 
 
+@query("manifest", sql="SELECT instance, relpath, size, 1 AS times FROM manifest WHERE doc_id % 4 > 0 AND doc_id % 7 > 0 UNION ALL SELECT instance, relpath, size + 1, 2 FROM manifest WHERE doc_id % 4 > 0 AND doc_id % 7 = 0 UNION ALL SELECT instance, relpath, size, 1 FROM manifest WHERE doc_id % 4 = 0 UNION ALL SELECT DISTINCT instance, '_empty', 0, 1 FROM manifest")
+def a02_stream_manifest(v: Views) -> DataFrame:
+    """Trees of four roots as a stream, stopped and started again: files of the fourth arrive and some of the others change
+    in between; each file's last size and how often it arrived."""
+    s = Scratch(v.spark, "a02")
+    body = _bodies(v).withColumn("key", F.concat_ws("/", "instance", "relpath"))
+
+    def put(rows: DataFrame, name: str) -> None:
+        s.save(_tree(rows.select(F.col("key").alias("relpath"), "text", "size"), s.path("tree")), name)
+
+    put(body.where("doc_id % 4 > 0"), "first")
+    put(body.select("instance").distinct().select(F.concat("instance", F.lit("/_empty")).alias("key"), F.lit("").alias("text"), F.lit(0).alias("size")), "empty")
+    arrived = files.stream_manifest(v.spark, {f"inst-{i}": s.path(f"tree/inst-{i}") for i in range(4)}, rescan_ms=500, shares=1)
+    _drain(arrived, s)
+    put(body.where("doc_id % 4 = 0"), "second")
+    put(body.where("doc_id % 4 > 0 and doc_id % 7 = 0").withColumn("text", F.concat("text", F.lit("+"))), "third")
+    got = _drain(arrived, s)
+    return got.groupBy("instance", "relpath").agg(F.max_by("size", "sweep").alias("size"), F.count("*").alias("times"))
+
+
 @query("manifest", sql="SELECT m.relpath AS key, m.size AS bytes, sha256(d.text) AS hex FROM manifest m JOIN documents d USING (doc_id)")
 def a04_copy_files(v: Views) -> DataFrame:
     s = Scratch(v.spark, "a04")
@@ -459,6 +481,29 @@ def d09_scan_report(v: Views) -> DataFrame:
     return metrics.scan_report(listing, m.where("doc_id % 10 = 0").selectExpr("instance", "'glob' as strategy", "if(doc_id % 4 = 0, 'PermissionDenied', 'Other') as kind"))
 
 
+def _scans(v: Views) -> DataFrame:
+    return v.attempts().selectExpr("instance", "dest as strategy", "now_ms as ts_ms", "bytes % 100 as duration_ms", "bytes as discovered", "bytes div 2 as ready", "bytes div 3 as ignored", "if(kind = 'http', 1, 0) as errors", "if(status = 403, 1, 0) as denied")
+
+
+def _transfers(v: Views) -> DataFrame:
+    return v.outcomes().selectExpr("instance", "dest as dest_type", "now_ms as ts_ms", "case outcome when 'ok' then 'replicated' when 'gave_up' then 'exhausted' when 'failed' then if(kind = 'integrity', 'verification-failed', 'failed') else 'started' end as result", "bytes", "seq % 50 * 10 as duration_ms", "seq % 3 = 0 as retry", "seq % 7 = 0 as resumed", "outcome = 'gave_up' as item_level", "if(instance = 'inst-0', 1, 3) as dest_count")
+
+
+def _links(v: Views) -> DataFrame:
+    o = v.outcomes().withColumn("cls", F.when(F.col("outcome") == "failed", "transient").otherwise("permanent"))
+    o = o.withColumn("bucket", F.when(F.col("error").isNotNull(), retry.failure_bucket(F.col("error"), F.col("cls"))))
+    return o.selectExpr("instance", "dest as dest_type", "now_ms as ts_ms", "seq", "if(error is null, 1, 0) as link", "bucket", "bytes % 7 as throttle_ms", "if(dest = 's3', 3000, 0) as limit_bps")
+
+
+def _decisions(v: Views) -> DataFrame:
+    s = schedule.window_state(v.probes(), v.windows())
+    return s.selectExpr("concat('inst-', user_id % 4) as instance", "'window' as mode", "t_ms as ts_ms", "true as active", "open", "false as triggered", "open as admitted", "event_id % 3 as backlog", "if(open, event_id % 5, 0) as released")
+
+
+def _results(v: Views) -> DataFrame:
+    return v.outcomes().selectExpr("instance", "now_ms as ts_ms", "case outcome when 'ok' then 'replicated' when 'gave_up' then 'failed' end as result", "bytes")
+
+
 STANDS = """s AS (SELECT *, lag(struct_pack(size, mtime_ms)) OVER w IS DISTINCT FROM struct_pack(size, mtime_ms) AS new, row_number() OVER w AS n FROM observations WINDOW w AS (PARTITION BY instance, relpath ORDER BY observed_ms, seq)),
 i AS (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY instance, relpath ORDER BY observed_ms, seq ROWS UNBOUNDED PRECEDING) AS stand FROM s),
 r AS (SELECT *, min(observed_ms) OVER (PARTITION BY instance, relpath, stand) AS since FROM i)"""
@@ -471,7 +516,7 @@ def d10_pending_recheck(v: Views) -> DataFrame:
 
 @query("attempts", sql="SELECT now_ms // 60000 * 60000 AS interval_ms, instance, dest AS strategy, count(*) AS scans, CAST(sum(bytes % 100) AS BIGINT) AS duration_ms, CAST(sum(bytes) AS BIGINT) AS discovered, CAST(sum(bytes // 2) AS BIGINT) AS ready, CAST(sum(bytes // 3) AS BIGINT) AS ignored, count(*) FILTER (kind = 'http') AS errors, count(*) FILTER (status = 403) AS denied FROM attempts GROUP BY ALL")
 def d11_metrics_discovery(v: Views) -> DataFrame:
-    return metrics.metrics_discovery(v.attempts().selectExpr("instance", "dest as strategy", "now_ms as ts_ms", "bytes % 100 as duration_ms", "bytes as discovered", "bytes div 2 as ready", "bytes div 3 as ignored", "if(kind = 'http', 1, 0) as errors", "if(status = 403, 1, 0) as denied"))
+    return metrics.metrics_discovery(_scans(v))
 
 
 @query("ledger", sql=f"""SELECT instance, count(*) FILTER (state = 'ready') AS ready, count(*) FILTER (state = 'in_progress') AS in_progress, count(*) FILTER (state = 'failed') AS failed, count(*) FILTER (state = 'exhausted') AS exhausted,
@@ -484,29 +529,25 @@ def d12_metrics_queue(v: Views) -> DataFrame:
 SELECT now_ms // 60000 * 60000 AS interval_ms, instance, CASE WHEN result = 'exhausted' AND instance <> 'inst-0' THEN 'multi' ELSE dest END AS destination_type, result, count(*) AS files, CAST(sum(CASE WHEN result = 'replicated' THEN bytes ELSE 0 END) AS BIGINT) AS bytes_replicated, CAST(sum(duration_ms) AS BIGINT) AS duration_ms,
 max(CASE WHEN result = 'replicated' THEN CASE WHEN duration_ms > 0 THEN bytes * 1000 / duration_ms ELSE CAST(bytes AS DOUBLE) END END) AS peak_bytes_per_sec, count(*) FILTER (seq % 3 = 0) AS retries, count(*) FILTER (result = 'verification-failed') AS verification_failures, count(*) FILTER (seq % 7 = 0) AS resume_recoveries FROM t GROUP BY ALL""")
 def d13_metrics_transfer(v: Views) -> DataFrame:
-    t = v.outcomes().selectExpr("instance", "dest as dest_type", "now_ms as ts_ms", "case outcome when 'ok' then 'replicated' when 'gave_up' then 'exhausted' when 'failed' then if(kind = 'integrity', 'verification-failed', 'failed') else 'started' end as result", "bytes", "seq % 50 * 10 as duration_ms", "seq % 3 = 0 as retry", "seq % 7 = 0 as resumed", "outcome = 'gave_up' as item_level", "if(instance = 'inst-0', 1, 3) as dest_count")
-    return metrics.metrics_transfer(t)
+    return metrics.metrics_transfer(_transfers(v))
 
 
 @query("outcomes", sql="""SELECT now_ms // 60000 * 60000 AS interval_ms, instance, dest AS dest_type, arg_max(CASE WHEN error IS NULL THEN 1 ELSE 0 END, seq) AS link_connected, count(*) FILTER (error IS NOT NULL AND error NOT LIKE '%403%' AND outcome = 'failed') AS connect_failures, count(*) FILTER (error LIKE '%403%') AS auth_failures,
     count(*) FILTER (error NOT LIKE '%403%' AND outcome = 'gave_up') AS write_failures, CAST(sum(bytes % 7) AS BIGINT) AS throttle_delay_ms, max(CASE dest WHEN 's3' THEN 3000 ELSE 0 END) AS limit_bytes_per_sec FROM outcomes GROUP BY ALL""")
 def d14_metrics_destination(v: Views) -> DataFrame:
-    o = v.outcomes().withColumn("cls", F.when(F.col("outcome") == "failed", "transient").otherwise("permanent"))
-    o = o.withColumn("bucket", F.when(F.col("error").isNotNull(), retry.failure_bucket(F.col("error"), F.col("cls"))))
-    return metrics.metrics_destination(o.selectExpr("instance", "dest as dest_type", "now_ms as ts_ms", "seq", "if(error is null, 1, 0) as link", "bucket", "bytes % 7 as throttle_ms", "if(dest = 's3', 3000, 0) as limit_bps"))
+    return metrics.metrics_destination(_links(v))
 
 
 @query("probes", "windows", sql="""WITH s AS (SELECT p.*, EXISTS (SELECT 1 FROM windows w WHERE w.open_ms <= p.t_ms AND p.t_ms < w.close_ms) AS open FROM probes p)
 SELECT t_ms // 60000 * 60000 AS interval_ms, 'inst-' || (user_id % 4) AS instance, 'window' AS mode, 1 AS active, count(*) FILTER (open) AS window_open, CAST(0 AS BIGINT) AS triggers, count(*) FILTER (NOT open) AS skipped, count(*) FILTER (NOT open AND event_id % 3 > 0) AS blocked, CAST(sum(CASE WHEN open THEN event_id % 5 ELSE 0 END) AS BIGINT) AS released FROM s GROUP BY ALL""")
 def d15_metrics_schedule(v: Views) -> DataFrame:
-    s = schedule.window_state(v.probes(), v.windows())
-    return metrics.metrics_schedule(s.selectExpr("concat('inst-', user_id % 4) as instance", "'window' as mode", "t_ms as ts_ms", "true as active", "open", "false as triggered", "open as admitted", "event_id % 3 as backlog", "if(open, event_id % 5, 0) as released"))
+    return metrics.metrics_schedule(_decisions(v))
 
 
 @query("outcomes", sql="""WITH d AS (SELECT instance, now_ms // 60000 * 60000 AS interval_ms, count(*) FILTER (outcome = 'ok') AS replicated_delta, CAST(coalesce(sum(bytes) FILTER (outcome = 'ok'), 0) AS BIGINT) AS bytes_delta, count(*) FILTER (outcome = 'gave_up') AS failed_delta FROM outcomes GROUP BY ALL)
 SELECT *, CAST(sum(replicated_delta) OVER w AS BIGINT) AS replicated_total, CAST(sum(bytes_delta) OVER w AS BIGINT) AS bytes_total, CAST(sum(failed_delta) OVER w AS BIGINT) AS failed_total FROM d WINDOW w AS (PARTITION BY instance ORDER BY interval_ms ROWS UNBOUNDED PRECEDING)""")
 def d16_metrics_compat(v: Views) -> DataFrame:
-    return metrics.metrics_compat(v.outcomes().selectExpr("instance", "now_ms as ts_ms", "case outcome when 'ok' then 'replicated' when 'gave_up' then 'failed' end as result", "bytes"))
+    return metrics.metrics_compat(_results(v))
 
 
 def _statuses(v: Views) -> DataFrame:
@@ -899,6 +940,15 @@ def s01_stream_readiness(v: Views) -> DataFrame:
     return _drain(streams.stream_readiness(stream, 3_600_000), s).select("instance", "relpath", "seq")
 
 
+@query("observations", sql=f"""WITH {STANDS}, g AS (SELECT instance, relpath, stand, any_value(size) AS size, any_value(mtime_ms) AS mtime_ms, min(since) AS since, max(observed_ms) AS last_ms FROM r GROUP BY ALL),
+n AS (SELECT *, lead(since) OVER (PARTITION BY instance, relpath ORDER BY stand) AS next_ms FROM g)
+SELECT instance, relpath, size, mtime_ms, since, since + 3600000 AS ready_ms FROM n WHERE CASE WHEN next_ms IS NOT NULL THEN next_ms > since + 3600000 ELSE since + 3600000 <= last_ms OR since + 3600000 < (SELECT max(observed_ms) FROM observations) END""")
+def s01_stream_release(v: Views) -> DataFrame:
+    """Files released by a timer at the end of their quiet time, most without being observed again."""
+    stream, s = _stream(v, v.observations(), "s01r", order="observed_ms")
+    return _drain(stateful.stream_release(stream, 3_600_000, 86_400_000 * 30), s)
+
+
 @query("outcomes", sql="SELECT instance, relpath, arg_max(outcome, seq) AS state, max(seq) AS seq FROM outcomes GROUP BY ALL")
 def s02_stream_ledger(v: Views) -> DataFrame:
     log = v.outcomes().selectExpr("instance", "relpath", "now_ms as ts", "seq", "outcome as state")
@@ -916,16 +966,36 @@ def s03_stream_metrics(v: Views) -> DataFrame:
     return _drain(streams.stream_metrics(stream), s)
 
 
+def _stream_group(group: str, batch: str, rows: Callable[[Views], DataFrame], ended: str) -> None:
+    """A metric group as a stream: what the batch query has of the intervals that the watermark has passed."""
+
+    def run(v: Views) -> DataFrame:
+        stream, s = _stream(v, rows(v), f"s03-{group}", order="ts_ms")
+        return _drain(streams.stream_group(stream, group), s)
+
+    name = f"s03_stream_{group}"
+    QUERIES[name] = lambda spark, sf_dir: run(Views(spark, sf_dir))
+    SQL[name] = f"SELECT * FROM ({SQL[batch]}) WHERE interval_ms + 60000 <= (SELECT {ended}) - 600000"
+
+
+_LAST_EVENT = "max(epoch_us(ts) // 1000) FROM events"
+_stream_group("discovery", "d11_metrics_discovery", _scans, _LAST_EVENT)
+_stream_group("transfer", "d13_metrics_transfer", _transfers, _LAST_EVENT)
+_stream_group("destination", "d14_metrics_destination", _links, _LAST_EVENT)
+_stream_group("schedule", "d15_metrics_schedule", _decisions, _LAST_EVENT)
+_stream_group("compat", "d16_metrics_compat", _results, _LAST_EVENT)
+
+
 @query(sql=LOG_ONCE)
 def s04_stream_log_once(v: Views) -> DataFrame:
     stream, s = _stream(v, _issues(v), "s04", order="ts_ms")
-    return _drain(streams.stream_log_once(stream), s).select("instance", "scope", "kind", "seq")
+    return _drain(stateful.stream_log_once(stream), s).select("instance", "scope", "kind", "seq")
 
 
 @query(sql=SQL["e14_throttle_progress"])
 def s04_stream_progress(v: Views) -> DataFrame:
     stream, s = _stream(v, v.progress(), "s04p", order="now_ms")
-    return _drain(streams.stream_progress(stream), s)
+    return _drain(stateful.stream_progress(stream), s)
 
 
 @query("attempts", sql="SELECT sink, seq, instance FROM attempts, (VALUES ('a'), ('b')) t(sink)")

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ferry.operators import metrics
+from ferry.streaming.stateful import event_timed, running_totals
+
 
 def stream_readiness(observations: DataFrame, quiet_ms: int = 5_000, evict_ms: int | None = None) -> DataFrame:
     """S1. E1 as a stream: observations that find their file settled. A path not seen for ``evict_ms`` of
@@ -53,45 +56,29 @@ def stream_metrics(events: DataFrame, late: str = "10 minutes", width: str = "60
     return w.select(F.unix_millis("window.start").alias("interval_ms"), "instance", "kind", "n", "bytes")
 
 
-def stream_log_once(issues: DataFrame, relog_ms: int = 3_600_000) -> DataFrame:
-    """S4. E15 as a stream: state per scope is the last logged time of each kind; a recovery wipes it."""
-
-    def run(key: Any, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["ts_ms", "seq"])
-        kinds, times = state.get if state.exists else ([], [])
-        logged = dict(zip(kinds, times, strict=True))
-        keep = []
-        for r in rows.itertuples():
-            if r.recovered:
-                logged.clear()
-                keep.append(False)
-                continue
-            k = r.kind not in logged or r.ts_ms - logged[r.kind] >= relog_ms
-            if k:
-                logged[r.kind] = int(r.ts_ms)
-            keep.append(k)
-        state.update((list(logged), list(logged.values())))
-        yield rows[keep]
-
-    return issues.groupBy("instance", "scope").applyInPandasWithState(run, issues.schema, "kinds array<string>, times array<long>", "append", GroupStateTimeout.NoTimeout)
-
+GROUPS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "discovery": metrics.metrics_discovery,
+    "transfer": metrics.metrics_transfer,
+    "destination": metrics.metrics_destination,
+    "schedule": metrics.metrics_schedule,
+    "compat": metrics.compat_deltas,
+}
 
-def stream_progress(ticks: DataFrame, step: int = 10, interval_ms: int = 5_000) -> DataFrame:
-    """S4. E14 as a stream: state per transfer is the last kept percent and time."""
 
-    def run(key: Any, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["now_ms", "tick"])
-        last, at = state.get if state.exists else (-1, 0)
-        keep = []
-        for p, t in zip(rows["percent"], rows["now_ms"], strict=True):
-            k = (last < 0 and p <= 0) or p >= 100 or p - last >= step or t - at >= interval_ms
-            if k:
-                last, at = int(p), int(t)
-            keep.append(bool(k))
-        state.update((last, at))
-        yield rows[keep]
+def stream_group(rows: DataFrame, group: str, late: str = "10 minutes") -> DataFrame:
+    """S3. A metric group of D11 and D13 to D16 over a stream with ``ts_ms``, in append mode: an interval is given out once,
+    when the watermark has passed it, and rows that are later than that are dropped.
 
-    return ticks.groupBy("transfer").applyInPandasWithState(run, ticks.schema, "last long, at long", "append", GroupStateTimeout.NoTimeout)
+    The groups are those of the batch operators. ``destination`` keeps the last link state of each interval by time, whatever
+    the order of arrival; ``compat`` chains the running totals to the closed intervals, with a row of sums as the state of an
+    instance. Neither holds more than its open intervals beside that.
+    """
+    if group not in GROUPS:
+        raise ValueError(f"unknown group {group}: {sorted(GROUPS)}")
+    got = GROUPS[group](event_timed(rows, "ts_ms", late))
+    if group != "compat":
+        return got
+    return running_totals(got, ["instance"], "interval_ms", {f"{c}_total": f"{c}_delta" for c in metrics.TOTALS})
 
 
 def fan_out(stream: DataFrame, sinks: dict[str, Callable[[DataFrame, int], None]], done: Callable[[str, int], bool], mark: Callable[[str, int], None], checkpoint: str):

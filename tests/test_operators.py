@@ -115,7 +115,8 @@ def test_files_are_listed_copied_checked_and_archived(spark, tmp_path):
     assert {r["sent"] for r in done.collect()} == {False}
     assert files.assemble(done, plan, dst).first()["committed"] and open(os.path.join(dst, "big"), "rb").read() == body["a/x.bin"]
     plan = listed.select("path", F.when(F.col("relpath") == "z.bin", "delete").otherwise("archive").alias("action"), F.concat(F.lit(str(tmp_path / "arch") + "/"), "relpath").alias("target"), (F.col("relpath") != "a/b/y.bin").alias("verified"), "size").collect()
-    plan = spark.createDataFrame(plan)
+    plan = [(*r, hashlib.sha256(body[os.path.relpath(r["path"], src)]).hexdigest()) for r in plan]
+    plan = spark.createDataFrame(plan, "path string, action string, target string, verified boolean, size long, hex string")
     for job in ("first", "again"):
         acts = files.apply_actions(plan, Scratch(spark, job))
         for _ in range(2):
@@ -131,7 +132,7 @@ def test_arrivals_stream(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
     (src / "one.txt").write_text("1")
-    q = files.stream_manifest(spark, str(src), "i").drop("mtime_ms").writeStream.format("memory").queryName("arrivals").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q = files.stream_manifest(spark, {"i": str(src)}, shares=1).drop("mtime_ms").writeStream.format("memory").queryName("arrivals").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(r["instance"], r["relpath"], r["size"]) for r in spark.sql("select * from arrivals").collect()] == [("i", "one.txt", 1)]
 
