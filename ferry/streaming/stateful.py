@@ -1,6 +1,6 @@
 """Streams whose state has timers and an end: arrivals, releases, log-once and progress filters, running totals.
 
-They use ``transformWithState``, for which a query needs the RocksDB state store; :func:`rocksdb` sets it. A key's rows are
+Those with timers use ``transformWithState``, for which a query needs the RocksDB state store; :func:`rocksdb` sets it. A key's rows are
 taken in order of time within a batch, and batches as they come; rows older than the watermark are dropped by Spark.
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
@@ -109,32 +110,33 @@ def stream_release(observations: DataFrame, quiet_ms: int = 5_000, evict_ms: int
     return keyed.groupBy("instance", "relpath").transformWithStateInPandas(_Release(quiet_ms, evict_ms, clock), "instance string, relpath string, size long, mtime_ms long, since long, ready_ms long", "Append", mode)
 
 
-class _Changed(StatefulProcessor):
-    """State of a path: (size, mtime) as last listed. It lives as long as listings renew it."""
-
-    def __init__(self, keep_ms: int | None, columns: list[str]) -> None:
-        self.keep, self.columns = keep_ms, columns
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "size long, mtime_ms long", ttlDurationMs=self.keep)
+def new_or_changed(listing: DataFrame, keep_ms: int | None = None) -> DataFrame:
+    """A2. Of repeated listings (instance, relpath, size, mtime_ms, sweep, ...) the rows whose file is new or has changed
+    since it was listed last. A path that no listing names for ``keep_ms`` is forgotten.
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        got = _in_order(rows, "sweep")
-        last, keep = tuple(self.last.get()) if self.last.exists() else None, []
-        for seen in zip(got["size"].astype(int), got["mtime_ms"].astype(int), strict=True):
+    Every file of every sweep passes here, so the state travels with the rows of its key (``applyInPandasWithState``) instead
+    of being asked for key by key.
+    """
+    columns = listing.columns
+
+    def run(key: Any, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        got = _in_order(frames, "sweep")
+        last, keep = tuple(state.get) if state.exists else None, []
+        for size, mtime in zip(got["size"], got["mtime_ms"], strict=True):
+            seen = (int(size), int(mtime))
             keep.append(seen != last)
             last = seen
-        self.last.update((int(last[0]), int(last[1])))
-        yield got.loc[keep, self.columns]
-
-    def close(self) -> None:
-        pass
-
-
-def new_or_changed(listing: DataFrame, keep_ms: int | None = None) -> DataFrame:
-    """A2. Of repeated listings (instance, relpath, size, mtime_ms, sweep, ...) the rows whose file is new or has changed
-    since it was listed last. A path that no listing names for ``keep_ms`` is forgotten."""
-    return listing.groupBy("instance", "relpath").transformWithStateInPandas(_Changed(keep_ms, listing.columns), listing.schema, "Append", "ProcessingTime")
+        state.update(last)
+        if keep_ms:
+            state.setTimeoutDuration(keep_ms)
+        if any(keep):
+            yield got.loc[keep, columns]
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if keep_ms else GroupStateTimeout.NoTimeout
+    return listing.groupBy("instance", "relpath").applyInPandasWithState(run, listing.schema, "size long, mtime_ms long", "append", timeout)
 
 
 class _LogOnce(StatefulProcessor):
