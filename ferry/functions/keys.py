@@ -78,6 +78,17 @@ def selected(path: Column, include: list[str], exclude: list[str]) -> Column:
     return wanted & ~globs(path, exclude)
 
 
+def selection_regex(include: list[str], exclude: list[str]) -> str:
+    """B1 as one regular expression for a whole path: not excluded, and included or nothing asked for."""
+    never = "(?!(?:" + "|".join(glob_regex(p) for p in exclude) + ")$)" if exclude else ""
+    return f"(?s)^{never}(?:" + ("|".join(glob_regex(p) for p in include) if include else ".*") + ")$"
+
+
+def matches(path: Column, regex: Column) -> Column:
+    """Whether a path matches the expression in a column, which is compiled when it differs from the row's before."""
+    return F.regexp_instr(path, regex) > 0
+
+
 def split_name(path: Column) -> tuple[Column, Column, Column]:
     """(folder with its slash, stem, extension with its dot); a leading dot begins no extension."""
     return (F.regexp_extract(path, "^((?:.*/)?)([^/]*)$", 1), F.regexp_extract(path, r"^(?:.*/)?(.[^/]*?|[^/]?)(\.[^./]*)?$", 1), F.regexp_extract(path, r"^(?:.*/)?(.[^/]*?|[^/]?)(\.[^./]*)?$", 2))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ferry.functions.keys import selected, split_name
+from ferry.functions.keys import matches, selected, selection_regex, split_name
 
 
 def select_globs(manifest: DataFrame, include: list[str], exclude: list[str], path: str = "relpath") -> DataFrame:
@@ -13,6 +13,21 @@ def select_globs(manifest: DataFrame, include: list[str], exclude: list[str], pa
     return manifest.where(selected(F.col(path), include, exclude))
 
 
+def pattern_table(spark: SparkSession, patterns: dict[str, tuple[list[str], list[str]]]) -> DataFrame:
+    """(instance, pattern): the included and excluded patterns of each instance as one regular expression."""
+    rows = [(instance, selection_regex(include, exclude)) for instance, (include, exclude) in patterns.items()]
+    return spark.createDataFrame(rows, "instance string, pattern string")
+
+
+def select_by_table(manifest: DataFrame, patterns: DataFrame, path: str = "relpath") -> DataFrame:
+    """B1 for many instances: rows that pass the patterns of their own instance (``pattern_table``), one expression for all
+    of them whatever their number. Rows of an instance without patterns pass. Each task sorts its rows by pattern, so that
+    it compiles each pattern once; instances with equal patterns share it."""
+    own = patterns.select("instance", F.col("pattern").alias("_pattern"))
+    met = manifest.join(own, "instance", "left").sortWithinPartitions("_pattern")
+    return met.where(F.col("_pattern").isNull() | matches(F.col(path), F.col("_pattern"))).select(*manifest.columns)
+
+
 def prune_dirs(manifest: DataFrame, skip: DataFrame, path: str = "relpath") -> DataFrame:
     """A3. Leaves out whatever lies at or below a folder of its own instance in ``skip(instance, dir)``, by whole path
     components.
@@ -42,23 +57,22 @@ def is_ready(manifest: DataFrame, policies: DataFrame, stable: DataFrame, patter
     """E4. Each instance's own strategy in one plan: stability, marker, glob or rename.
 
     ``policies``(instance, strategy[, suffix]); ``stable``(instance, relpath) are the paths that E1 calls settled;
-    ``patterns`` holds the ready and the excluded patterns of each instance that has any, compiled at plan time. An
-    instance without a policy takes stability, one without patterns has every listed file ready under glob, one without
+    ``patterns`` holds the ready and the excluded patterns of each instance that has any, and becomes a table of one row an
+    instance, so that the plan does not grow with their number. An instance without a policy takes stability, one without patterns has every listed file ready under glob, one without
     a suffix takes ``suffix``. The signals are joined once and a CASE picks the one that counts.
     """
     own = F.coalesce("suffix", F.lit(suffix)) if "suffix" in policies.columns else F.lit(suffix)
     held = policies.select("instance", "strategy", own.alias("_suffix"))
-    listed = manifest.join(held, "instance", "left")
+    made = pattern_table(manifest.sparkSession, patterns).withColumnRenamed("pattern", "_pattern")
+    listed = manifest.join(held.join(made, "instance", "full_outer"), "instance", "left")
     marks = listed.where((F.col("strategy") == "marker") & F.col("relpath").endswith(F.col("_suffix")))
     marks = marks.select("instance", F.expr("left(relpath, length(relpath) - length(_suffix))").alias("relpath"), F.lit(True).alias("_marked")).distinct()
     settled = stable.select("instance", "relpath", F.lit(True).alias("_stable")).distinct()
     m = listed.join(marks, ["instance", "relpath"], "left").join(settled, ["instance", "relpath"], "left")
     s = F.coalesce("strategy", F.lit("stability"))
-    wanted = F.lit(True)
-    for instance, (include, exclude) in patterns.items():
-        wanted = F.when(F.col("instance") == instance, selected(F.col("relpath"), include, exclude)).otherwise(wanted)
+    wanted = F.col("_pattern").isNull() | matches(F.col("relpath"), F.col("_pattern"))
     ok = F.when(s == "rename", True).when(s == "marker", F.coalesce("_marked", F.lit(False))).when(s == "glob", wanted).otherwise(F.coalesce("_stable", F.lit(False)))
-    return m.where(ok).select(*manifest.columns)
+    return m.sortWithinPartitions("_pattern").where(ok).select(*manifest.columns)
 
 
 def label_dests(egress: DataFrame) -> DataFrame:

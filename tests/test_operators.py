@@ -241,3 +241,18 @@ def test_each_instance_has_its_own_strategy_patterns_and_suffix(spark):
 def test_a_malformed_global_block_sets_nothing(spark, text, base, zone, malformed):
     r = policy.load_globals(spark.createDataFrame([(1, text)], "device int, json string")).first()
     assert (r["base_ms"], r["timezone"], r["malformed"]) == (base, zone, malformed)
+
+
+def test_ten_thousand_instances_with_patterns_of_their_own(spark):
+    n = 10_000
+    patterns = {f"i{k}": ([f"a{k % 7}/*.csv", "b/**"], ["b/x?"] if k % 2 else []) for k in range(n)}
+    names = ["a3/q.csv", "b/y", "b/x1", "c"]
+    m = spark.range(n).selectExpr("concat('i', id) as instance", "explode(array('a3/q.csv', 'b/y', 'b/x1', 'c')) as relpath")
+    policies = spark.range(n + 1).selectExpr("concat('i', id) as instance", "'glob' as strategy")
+    more = m.unionByName(spark.createDataFrame([(f"i{n}", "c"), ("none", "c")], "instance string, relpath string"))
+    want = sum(f == "b/y" or f == "b/x1" and not k % 2 or f == "a3/q.csv" and k % 7 == 3 for k in range(n) for f in names)
+    ready = select.is_ready(more, policies, spark.createDataFrame([("none", "c")], "instance string, relpath string"), patterns)
+    assert ready.count() == want + 2
+    assert select.select_by_table(more, select.pattern_table(spark, patterns)).count() == want + 2
+    one = select.select_globs(m.where("instance = 'i3'"), *patterns["i3"]).collect()
+    assert {r.relpath for r in one} == {r.relpath for r in select.select_by_table(m.where("instance = 'i3'"), select.pattern_table(spark, patterns)).collect()} == {"a3/q.csv", "b/y"}
