@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferry.operators.ordered import rank
+from ferry.plans.scratch import Scratch
+
 KEY = ["instance", "relpath"]
 STATES = ("ready", "in_progress", "verified", "completed", "failed", "exhausted", "quarantined", "retained")
 TERMINAL = ("completed", "quarantined", "retained")
@@ -137,11 +140,12 @@ def promote_due(ledger: DataFrame, now_ms: int) -> DataFrame:
     return ledger.withColumn("updated_at", F.when(due, F.lit(now_ms)).otherwise(F.col("updated_at"))).withColumn("state", F.when(due, F.lit("ready")).otherwise(F.col("state")))
 
 
-def drain(ledger: DataFrame, now_ms: int, limit: int) -> DataFrame:
-    """T3. The batch in which each due ready item is claimed when claiming goes on until nothing is left."""
+def drain(ledger: DataFrame, now_ms: int, limit: int, scratch: Scratch | None = None, blocks: int | None = None) -> DataFrame:
+    """T3. The batch in which each due ready item is claimed when claiming goes on until nothing is left. An instance's
+    backlog is ranked in ranges of its order, a task each."""
     due = ledger.where((F.col("state") == "ready") & (F.col("next_attempt_at") <= now_ms))
-    w = Window.partitionBy("instance").orderBy("discovered_at", "relpath")
-    return due.withColumn("batch", F.ceil(F.row_number().over(w) / limit).cast("long"))
+    ranked = rank(due, ["instance"], ["discovered_at", "relpath"], scratch or Scratch(ledger.sparkSession, "drain"), "_n", blocks)
+    return ranked.withColumn("batch", F.ceil(F.col("_n") / limit).cast("long")).drop("_n")
 
 
 def admission_order(waiters: DataFrame, permits: int, by: str | None = None) -> DataFrame:

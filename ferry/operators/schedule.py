@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferry.operators.ordered import last_before
+from ferry.plans.scratch import Scratch
+
 DAY = 86_400_000
 
 
@@ -140,12 +143,12 @@ def invalid_schedules(schedules: DataFrame, fires: DataFrame, zones: list[str] |
     return j.select("schedule", why.alias("reason")).where("reason is not null")
 
 
-def schedule_transitions(decisions: DataFrame) -> DataFrame:
+def schedule_transitions(decisions: DataFrame, scratch: Scratch | None = None, blocks: int | None = None) -> DataFrame:
     """E16. opened, closed and triggered edges of (instance, ts, seq, kind): kind is windowed, triggered, or anything else.
-    Decisions of one instant go in order of ``seq``."""
-    w = Window.partitionBy("instance").orderBy("ts", "seq")
+    Decisions of one instant go in order of ``seq``. The window's state is carried over ranges of an instance's decisions."""
     # a trigger leaves the window flag alone, so the state before is the last other decision
     is_open = F.when(F.col("kind") != "triggered", F.col("kind") == "windowed")
-    before = F.coalesce(F.last(is_open, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    known = last_before(decisions, ["instance"], ["ts", "seq"], is_open, scratch or Scratch(decisions.sparkSession, "transitions"), "_open", blocks)
+    before = F.coalesce("_open", F.lit(False))
     edge = F.when(F.col("kind") == "triggered", "triggered").when((F.col("kind") == "windowed") & ~before, "opened").when((F.col("kind") != "windowed") & before, "closed")
-    return decisions.withColumn("edge", edge).where("edge is not null")
+    return known.withColumn("edge", edge).where("edge is not null").drop("_open")
