@@ -594,6 +594,44 @@ def d20_view_from_events(v: Views) -> DataFrame:
     return status.view_from_events(e)
 
 
+def _both_views(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Items by the event stream, with archivals among the events, and by the ledger's roll-up of the same attempts."""
+    o = v.outcomes()
+    name = "case outcome when 'ok' then 'replication-completed' when 'progress' then 'replication-progress' when 'gave_up' then 'retries-exhausted' else 'replication-failed' end as event"
+    told = o.selectExpr("instance", "relpath as path", "dest", name, "now_ms as ts", "seq")
+    done = o.where("seq % 50 = 0").selectExpr("instance", "relpath as path", "cast(null as string) as dest", "'file-archived' as event", "now_ms + 1 as ts", "seq")
+    by_events = status.items_from_events(told.unionByName(done), _three(v))
+    items = o.select("instance", "relpath").distinct().withColumn("attempts", F.lit(0))
+    phases = ledger.fold_attempts(o.select("instance", "relpath", "dest", "now_ms", "seq", "outcome", "error")).withColumn("next_attempt_at", F.lit(0).cast("long"))
+    return by_events, retry.rollup_items(items, _three(v), phases).select("instance", "relpath", "state")
+
+
+BOTH_VIEWS = """ev AS (SELECT instance, relpath, dest, now_ms * 1000000 + seq AS o, CASE outcome WHEN 'ok' THEN 'verified' WHEN 'progress' THEN 'in_progress' WHEN 'gave_up' THEN 'exhausted' ELSE 'failed' END AS st FROM outcomes
+    UNION ALL SELECT instance, relpath, NULL, (now_ms + 1) * 1000000 + seq, 'completed' FROM outcomes WHERE seq % 50 = 0),
+fd AS (SELECT instance, relpath, dest, arg_max(st, o) AS st, max(o) AS o FROM ev GROUP BY instance, relpath, dest),
+be AS (SELECT instance, relpath, CASE WHEN max(o) FILTER (dest IS NULL) > max(o) FILTER (dest IS NOT NULL) THEN 'completed' WHEN bool_or(st = 'exhausted' AND dest IS NOT NULL) THEN 'exhausted' WHEN bool_or(st = 'in_progress') THEN 'in_progress' WHEN bool_or(st = 'failed') THEN 'failed'
+    WHEN count(*) FILTER (st = 'verified') = 3 THEN 'verified' ELSE 'ready' END AS state FROM fd GROUP BY instance, relpath),
+ph AS (SELECT instance, relpath, dest, arg_max(outcome, now_ms * 1000000 + seq) FILTER (outcome <> 'progress') AS r FROM outcomes GROUP BY ALL),
+bl AS (SELECT instance, relpath, CASE WHEN bool_or(r = 'gave_up') THEN 'exhausted' WHEN count(*) FILTER (r = 'ok') = 3 THEN 'verified' ELSE 'failed' END AS state FROM ph GROUP BY instance, relpath)"""
+
+
+@query("outcomes", sql=f"WITH {BOTH_VIEWS} SELECT instance, count(*) FILTER (state = 'ready') AS awaiting, count(*) FILTER (state = 'in_progress') AS in_progress, count(*) FILTER (state IN ('failed', 'exhausted')) AS failed, count(*) FILTER (state IN ('verified', 'completed')) AS replicated FROM be GROUP BY instance")
+def d20_status_from_events(v: Views) -> DataFrame:
+    return status.status_counts(_both_views(v)[0])
+
+
+@query("outcomes", sql=f"WITH {BOTH_VIEWS} SELECT instance, relpath, be.state AS by_events, bl.state AS by_ledger FROM be JOIN bl USING (instance, relpath) WHERE be.state <> bl.state")
+def d20_item_disagreements(v: Views) -> DataFrame:
+    return status.item_disagreements(*_both_views(v))
+
+
+@query("outcomes", sql=f"""WITH {BOTH_VIEWS}, u AS (SELECT 'e' AS side, * FROM be UNION ALL SELECT 'l', * FROM bl),
+m AS (SELECT instance, CASE WHEN state = 'ready' THEN 'awaiting' WHEN state = 'in_progress' THEN state WHEN state IN ('failed', 'exhausted') THEN 'failed' ELSE 'replicated' END AS measure, count(*) FILTER (side = 'e') AS by_events, count(*) FILTER (side = 'l') AS by_ledger FROM u GROUP BY ALL)
+SELECT * FROM m WHERE by_events <> by_ledger""")
+def d20_status_disagreements(v: Views) -> DataFrame:
+    return status.status_disagreements(*_both_views(v))
+
+
 # --- E: ordered logic
 
 

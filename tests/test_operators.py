@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ferry.functions.keys import byte_rate, dest_key, duration_ms, glob_regex
-from ferry.operators import integrity, ledger, parts, policy, ready, retry, schedule, select, throttle
+from ferry.operators import integrity, ledger, parts, policy, ready, retry, schedule, select, status, throttle
 from ferry.plans.scratch import Scratch
 from ferry.sources import files
 
@@ -256,3 +256,21 @@ def test_ten_thousand_instances_with_patterns_of_their_own(spark):
     assert select.select_by_table(more, select.pattern_table(spark, patterns)).count() == want + 2
     one = select.select_globs(m.where("instance = 'i3'"), *patterns["i3"]).collect()
     assert {r.relpath for r in one} == {r.relpath for r in select.select_by_table(m.where("instance = 'i3'"), select.pattern_table(spark, patterns)).collect()} == {"a3/q.csv", "b/y"}
+
+
+def test_states_by_events_and_where_the_ledger_disagrees(spark):
+    ev = [
+        ("i", "a", "x", "replication-completed", 1, 1), ("i", "a", "y", "replication-completed", 2, 2), ("i", "a", None, "file-archived", 3, 3),
+        ("i", "b", None, "file-discovered", 1, 1), ("i", "b", "x", "replication-failed", 2, 2), ("i", "b", "x", "replication-completed", 3, 3), ("i", "b", "gone", "retries-exhausted", 9, 9),
+        ("i", "c", "x", "replication-completed", 1, 1), ("i", "c", "y", "replication-progress", 2, 2), ("i", "d", None, "file-ready", 1, 1),
+        ("i", "e", None, "file-quarantined", 1, 1), ("i", "e", "x", "replication-started", 2, 2), ("j", "f", "x", "retries-exhausted", 2, 2), (None, "g", None, "file-ready", 1, 1),
+    ]
+    events = spark.createDataFrame(ev, "instance string, path string, dest string, event string, ts long, seq long")
+    egress = spark.createDataFrame([("i", "x"), ("i", "y"), ("j", "x")], "instance string, dest string")
+    items = status.items_from_events(events, egress)
+    assert {r.relpath: r.state for r in items.collect()} == {"a": "completed", "b": "ready", "c": "in_progress", "d": "ready", "e": "in_progress", "f": "exhausted", "g": "ready"}
+    led = spark.createDataFrame([("i", "a", "completed"), ("i", "b", "verified"), ("i", "c", "in_progress"), ("i", "z", "ready"), (None, "g", "ready")], "instance string, relpath string, state string")
+    got = {(r.instance, r.relpath, r.by_events, r.by_ledger) for r in status.item_disagreements(items, led).collect()}
+    assert got == {("i", "b", "ready", "verified"), ("i", "d", "ready", None), ("i", "e", "in_progress", None), ("i", "z", None, "ready"), ("j", "f", "exhausted", None)}
+    got = {(r.instance, r.measure, r.by_events, r.by_ledger) for r in status.status_disagreements(items, led).collect()}
+    assert got == {("i", "awaiting", 2, 1), ("i", "in_progress", 2, 1), ("i", "replicated", 1, 2), ("j", "failed", 1, 0)}
