@@ -58,14 +58,20 @@ def _groups(docs: DataFrame, id_col: str, full: Column, scratch: Scratch) -> Dat
 def _judged(rows: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows alone in what their refinement reached, the other rows with their group and ``_kept``). Rows have (_id, _full).
 
-    Of rows that repeat the largest id of their group one is kept; only where there are such rows do they meet.
+    Of rows that repeat the largest id of their group one is kept; only where there are such rows do they meet, those of a
+    text and a partition first.
     """
     met = rows.where("_full is not null").join(groups, "_full", "left")
     is_best = F.col("_id").eqNullSafe(F.col("_keep")) | F.col("_size").isNull()
     many = F.col("_id").eqNullSafe(F.col("_keep")) & (F.coalesce("_same", F.lit(1)) > 1)
     if groups.where("_same > 1").limit(1).count():
-        first = F.row_number().over(Window.partitionBy("_full").orderBy("_id")) == 1
-        met = met.where(~many).withColumn("_kept", is_best).unionByName(met.where(many).withColumn("_kept", first))
+        # one row of each partition first, then one of these, so that no task sees all rows of a text
+        again = met.where(many).withColumn("_at", F.spark_partition_id())
+        again = again.withColumn("_n", F.row_number().over(Window.partitionBy("_full", "_at").orderBy("_id")))
+        again = again.withColumn("_among", F.when(F.col("_n") == 1, -1).otherwise(F.col("_at")))
+        first = F.row_number().over(Window.partitionBy("_full", "_among").orderBy("_at")) == 1
+        again = again.withColumn("_kept", (F.col("_n") == 1) & first).drop("_at", "_n", "_among")
+        met = met.where(~many).withColumn("_kept", is_best).unionByName(again)
     else:
         met = met.withColumn("_kept", is_best)
     return rows.where("_full is null"), met

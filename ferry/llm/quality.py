@@ -116,22 +116,23 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, bits: int =
 
 def train(docs: DataFrame, ratings: DataFrame, grades: int = 3, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", sample: int = 12_000, bits: int = 18) -> Model:
     """Fit on at most about ``sample`` rated documents, chosen by a hash of the id. Ratings are (id, grade from 0 on);
-    null ids or grades are left out, and of several ratings of a document the lowest counts. Each row of a document that is
-    repeated is a sample of its own. The model is the same whatever order the rows come in. Without a rating every
+    null ids or grades are left out, and of several ratings of a document the lowest counts. Of rows that repeat a rated id
+    one is a sample, the one whose text has the least hash; it is chosen in the tasks. The model is the same whatever order the rows come in. Without a rating every
     document gets the same grade. Other columns are ignored. The chosen ratings, whose number is bounded, are broadcast, so
     that no text is shuffled."""
     r = ratings.where(F.col(id_col).isNotNull() & F.col(grade_col).isNotNull()).groupBy(F.col(id_col).alias("_rid")).agg(F.min(grade_col).cast("int").alias("_g"))
     n = r.count()
     if n > sample:
         r = r.where(F.xxhash64("_rid", F.lit(5)) < int(sample / n * 2**64) - 2**63)
-    joined = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(r), F.col("_id") == F.col("_rid")).select("_g", "_t")
+    joined = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(r), F.col("_id") == F.col("_rid")).select("_g", "_t", "_rid", F.xxhash64("_t").alias("_h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fs = [features(t.as_py(), bits) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([i.tobytes() for i, _ in fs], pa.binary()), pa.array([v.tobytes() for _, v in fs], pa.binary())], names=["g", "i", "v"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([i.tobytes() for i, _ in fs], pa.binary()), pa.array([v.tobytes() for _, v in fs], pa.binary()), b.column(2), b.column(3)], names=["g", "i", "v", "id", "h"])
 
-    rows = joined.mapInArrow(run, "g int, i binary, v binary").collect()
+    made = joined.withColumn("_rid", F.col("_rid").cast("string")).mapInArrow(run, "g int, i binary, v binary, id string, h long")
+    rows = made.groupBy("id").agg(F.min_by(F.struct("g", "i", "v"), "h").alias("x")).select("x.*").collect()
     data = [(min(grades - 1, max(0, x["g"])), np.frombuffer(x["i"], dtype=np.int32), np.frombuffer(x["v"], dtype=np.float32)) for x in rows]
     data.sort(key=lambda x: (x[0], x[1].tobytes()))  # the same model whatever order the rows came in
     return fit(data, grades, bits)

@@ -248,10 +248,11 @@ def wide_variants(prints: DataFrame, width: int, wipe: int) -> DataFrame:
 def similar_links(docs: DataFrame, scratch: Scratch, similarity: float = 0.8, recall: float = 0.95, wipe: int = 4, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """Links (a, b) of ids of documents whose wide fingerprints are as near as those of texts of this similarity.
 
-    Variants meet by equality. Every member of a bucket is verified against two members of it, the first and the last in
+    Of rows that repeat an id with other texts each is indexed, and the least fingerprint stands for the id when links are
+    verified, so reruns agree. Variants meet by equality. Every member of a bucket is verified against two members of it, the first and the last in
     an order of the ids that four kinds of buckets turn each in its own way. So a bucket of any size costs two rows a
     member and is counted map-side, and never all pairs; the members of a group meet the same few in most of their
-    buckets, and others where buckets differ. Rows without id take no part.
+    buckets, and others where buckets differ. Rows without id take no part. An empty table has no links.
     """
     docs = docs.where(F.col(id_col).isNotNull())
     n = docs.count()
@@ -265,7 +266,7 @@ def similar_links(docs: DataFrame, scratch: Scratch, similarity: float = 0.8, re
     ends = scratch.save(ends.select("key", *[_turned(F.col(c), 47).bitwiseXOR(salt).alias(c) for c in "ab"]), "wide-buckets")
     met = index.join(ends, "key").select("id", F.explode(F.array("a", "b")).alias("other")).where("id <> other")
     pairs = scratch.save(met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "wide-pairs")
-    fps = prints.groupBy("id").agg(F.first("fp").alias("fp"))
+    fps = prints.groupBy("id").agg(F.min("fp").alias("fp"))
     met = pairs.join(fps.select(F.col("id").alias("a"), F.col("fp").alias("x")), "a").join(fps.select(F.col("id").alias("b"), F.col("fp").alias("y")), "b")
     differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
     return scratch.save(met.where(differ <= most).select("a", "b"), "wide-links")

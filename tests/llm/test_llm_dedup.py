@@ -355,3 +355,14 @@ def test_warc_empty_table(spark, scratch):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write_archives(df, scratch.path("none"), scratch)
     assert warc.resolve_revisits(warc.read_archives(spark, scratch.path("none"), scratch), scratch).count() == 0
+
+
+def test_a_text_whose_id_holds_a_third_of_all_rows_is_judged_in_parts(spark, scratch):
+    rows = [(7, "same text")] * 300 + [(None, "")] * 300 + [(i, f"text {i % 150}") for i in range(10, 310)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = exact_dedup.exact_dedup(docs, scratch).collect()
+    kept = Counter((r.keep_id, r.kept) for r in got if r.doc_id in (7, None))
+    assert len(got) == 900 and kept[(7, True)] == 1 == kept[(None, True)] and kept[(7, False)] == 299
+    assert exact_dedup.drop_exact_duplicates(docs, scratch).count() == 152
+    plan = exact_dedup.exact_dedup(docs, scratch)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") >= 2 and "_among" in plan

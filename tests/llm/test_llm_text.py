@@ -390,3 +390,26 @@ def test_pieces_keep_ids(spark):
     docs = spark.createDataFrame([(1, "hello there " * 900, 5)], "doc_id long, text string, piece int")
     rows = packing.pieces(docs, *tokenizer(), keep_ids=True).collect()
     assert all(len(r["ids"]) == 2 * r["length"] for r in rows) and bytes(rows[-1]["ids"][-2:]) == b"\x02\x00"
+
+
+def test_training_is_bounded_in_long_regions(spark):
+    import time
+
+    numbers = " ".join(f"+1 415 555 {1000 + i}" for i in range(5_000))
+    base = pii.base_spans(numbers)
+    began = time.time()
+    pii.fit([(numbers[:1_000], [s for s in base if s[2] <= 1_000])] * 600, epochs=1, budget=5_000)
+    assert time.time() - began < 30
+    stretches = list(pii._stretches(numbers, base))
+    assert "".join(t for t, _ in stretches) == numbers and sum(len(s) for _, s in stretches) == len(base) and max(len(t) for t, _ in stretches) < 600
+    docs = spark.createDataFrame([(1, numbers), (2, "mail a@b.cd now"), (3, None)], "doc_id long, text string")
+    rows = pii._marked_regions(docs, docs["doc_id"], "text", 8, 1_000).collect()
+    assert len(rows) >= 2 and max(len(r["text"]) for r in rows) <= 1_100 and all(s["stop"] <= len(r["text"]) for r in rows for s in r["spans"])
+
+
+def test_a_rated_id_that_is_repeated_is_one_sample(spark):
+    docs = spark.createDataFrame([(1, "good words here")] * 50 + [(2, "bad"), (None, "x")], "doc_id long, text string")
+    ratings = spark.createDataFrame([(1, 2), (2, 0), (2, 1)], "doc_id long, grade int")
+    once = spark.createDataFrame([(1, "good words here"), (2, "bad")], "doc_id long, text string")
+    a, b = quality.train(docs, ratings), quality.train(once, ratings)
+    assert np.allclose(a.weights, b.weights) and np.allclose(a.cuts, b.cuts)
