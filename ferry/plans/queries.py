@@ -1024,6 +1024,19 @@ _stream_group("schedule", "d15_metrics_schedule", _decisions, _LAST_EVENT)
 _stream_group("compat", "d16_metrics_compat", _results, _LAST_EVENT)
 
 
+@query("attempts", sql=f"""WITH l AS (SELECT instance, relpath, now_ms, seq, bytes AS size, {STATES_OF} AS state FROM attempts),
+c AS (SELECT *, lag(state) OVER w AS was, coalesce(lag(size) OVER w, 0) AS had FROM l WINDOW w AS (PARTITION BY instance, relpath ORDER BY now_ms, seq)),
+d AS (SELECT instance, now_ms // 60000 * 60000 AS interval_ms, {", ".join(f"CAST(state = '{q}' AS BIGINT) - CAST(coalesce(was = '{q}', FALSE) AS BIGINT) AS {q}" for q in ("ready", "in_progress", "failed", "exhausted"))},
+    CASE WHEN state = 'ready' THEN size ELSE 0 END - CASE WHEN was = 'ready' THEN had ELSE 0 END AS b FROM c WHERE state IS DISTINCT FROM was OR size <> had),
+g AS (SELECT instance, interval_ms, sum(ready) AS ready, sum(in_progress) AS in_progress, sum(failed) AS failed, sum(exhausted) AS exhausted, sum(b) AS b FROM d GROUP BY ALL),
+t AS (SELECT instance, interval_ms, {", ".join(f"CAST(sum({q}) OVER w AS BIGINT) AS {q}" for q in ("ready", "in_progress", "failed", "exhausted"))}, CAST(sum(b) OVER w AS BIGINT) AS bytes_queued FROM g WINDOW w AS (PARTITION BY instance ORDER BY interval_ms ROWS UNBOUNDED PRECEDING))
+SELECT *, failed AS retry_backlog, in_progress AS active_workers FROM t WHERE interval_ms + 60000 <= (SELECT max(now_ms) FROM attempts) - 600000""")
+def s03_stream_queue(v: Views) -> DataFrame:
+    log = v.attempts().selectExpr("instance", "relpath", "now_ms as ts_ms", "seq", "bytes as size", f"{STATES_OF} as state")
+    stream, s = _stream(v, log, "s03-queue", order="ts_ms")
+    return _drain(streams.stream_queue(stream), s)
+
+
 @query(sql=LOG_ONCE)
 def s04_stream_log_once(v: Views) -> DataFrame:
     stream, s = _stream(v, _issues(v), "s04", order="ts_ms")

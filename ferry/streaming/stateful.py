@@ -251,3 +251,36 @@ def running_totals(windows: DataFrame, key: list[str], order: str, sums: dict[st
     time: the state is one row of sums a key, however long the stream."""
     schema = T.StructType([*windows.schema.fields, *[T.StructField(total, T.LongType()) for total in sums]])
     return windows.groupBy(*key).transformWithStateInPandas(_Totals(order, list(sums.values()), list(sums), schema.names), schema, "Append", "None")
+
+
+QUEUED = ("ready", "in_progress", "failed", "exhausted")
+
+
+class _Moves(StatefulProcessor):
+    """State of an item: its state and size as last logged."""
+
+    COLUMNS = ["instance", "moved_at", *[f"d_{s}" for s in QUEUED], "d_bytes"]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "state string, size long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        got, out = _in_order(rows, "ts_ms", "seq"), []
+        state, size = tuple(self.last.get()) if self.last.exists() else (None, 0)
+        for at, new, n in zip(pd.to_datetime(got["ts_ms"], unit="ms", utc=True), got["state"], got["size"], strict=True):
+            if (new, n) != (state, size):
+                each = [int(new == s) - int(state == s) for s in QUEUED]
+                out.append((key[0], at, *each, (int(n) if new == "ready" else 0) - (size if state == "ready" else 0)))
+                state, size = new, int(n)
+        self.last.update((state, size))
+        yield pd.DataFrame(out, columns=self.COLUMNS)
+
+    def close(self) -> None:
+        pass
+
+
+def queue_moves(log: DataFrame, late: str) -> DataFrame:
+    """What each change of an item adds to and takes from its instance's queue: (instance, moved_at, d_ready, ..., d_bytes)."""
+    rows = event_timed(log.select("instance", "relpath", "state", "size", "ts_ms", "seq"), "ts_ms", late)
+    schema = "instance string, moved_at timestamp, " + ", ".join(f"d_{s} long" for s in QUEUED) + ", d_bytes long"
+    return rows.groupBy("instance", "relpath").transformWithStateInPandas(_Moves(), schema, "Append", "EventTime", eventTimeColumnName="moved_at")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ferry.operators import metrics
-from ferry.streaming.stateful import event_timed, running_totals
+from ferry.streaming.stateful import QUEUED, event_timed, queue_moves, running_totals
 
 
 def stream_readiness(observations: DataFrame, quiet_ms: int = 5_000, evict_ms: int | None = None) -> DataFrame:
@@ -81,6 +81,20 @@ def stream_group(rows: DataFrame, group: str, late: str = "10 minutes") -> DataF
     return running_totals(got, ["instance"], "interval_ms", {f"{c}_total": f"{c}_delta" for c in metrics.TOTALS})
 
 
+def stream_queue(log: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """S3. D12 as a stream of the ledger's log (instance, relpath, state, size, ts_ms, seq): depths by state, bytes queued,
+    retry backlog and active workers of each instance at the end of every interval in which they changed.
+
+    Three stateful steps: an item's last state turns its log into what it adds and takes, intervals sum that up, and running
+    totals make gauges of the sums. The age of the oldest item is left to the batch operator: it cannot be kept by sums.
+    """
+    moves = queue_moves(log, late)
+    sums = moves.groupBy(F.window("moved_at", f"{metrics.INTERVAL_MS} milliseconds"), "instance").agg(*[F.sum(c).alias(c) for c in moves.columns if c not in ("instance", "moved_at")])
+    sums = sums.select("instance", F.unix_millis("window.start").alias("interval_ms"), *[f"d_{s}" for s in QUEUED], "d_bytes")
+    got = running_totals(sums, ["instance"], "interval_ms", {**{s: f"d_{s}" for s in QUEUED}, "bytes_queued": "d_bytes"})
+    return got.select("instance", "interval_ms", *QUEUED, "bytes_queued", F.col("failed").alias("retry_backlog"), F.col("in_progress").alias("active_workers"))
+
+
 def fan_out(stream: DataFrame, sinks: dict[str, Callable[[DataFrame, int], None]], done: Callable[[str, int], bool], mark: Callable[[str, int], None], checkpoint: str):
     """A6, S5. One input to many sinks, each tracked on its own.
 
