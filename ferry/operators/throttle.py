@@ -6,6 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferry.operators.ordered import running_sum, spaced
+from ferry.plans.scratch import Scratch
+
 
 def throttle_accounting(chunks: DataFrame, key: list[str], rate: Column | int, burst: Column | int, bucket_ms: int = 3_600_000, out: str = "wait_ms") -> DataFrame:
     """E12. The wait in milliseconds that each chunk owes under a token bucket with debt.
@@ -58,28 +61,14 @@ def throttle_progress(ticks: DataFrame, step: int = 10, interval_ms: int = 5_000
     return ticks.groupBy("transfer").applyInPandas(run, ticks.schema)
 
 
-def log_once(issues: DataFrame, relog_ms: int = 3_600_000) -> DataFrame:
+def log_once(issues: DataFrame, relog_ms: int = 3_600_000, scratch: Scratch | None = None, blocks: int | None = None) -> DataFrame:
     """E15. Issues worth logging: the first sighting, then once every ``relog_ms`` while it lasts.
 
     ``issues`` has (instance, scope, kind, ts_ms, seq, recovered); scope is a path or a destination. A recovered row
-    re-arms all kinds of its scope and is not logged. Islands between recoveries come from a window; within an island the
-    spacing is greedy and replayed in order.
+    re-arms all kinds of its scope and is not logged. Islands between recoveries are a running sum, and within an island the
+    logged rows are reached by pointers of at least ``relog_ms``; both go over ranges of the time, so that a scope, or an
+    island, may hold all rows. Without a spacing every sighting is logged.
     """
-    w = Window.partitionBy("instance", "scope").orderBy("ts_ms", "seq")
-    columns = issues.columns
-    i = issues.withColumn("_i", F.sum(F.col("recovered").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("not recovered")
-    # rows before the island's first full interval need no replay when the island is short
-    lo = F.min("ts_ms").over(Window.partitionBy("instance", "scope", "kind", "_i"))
-    n = F.row_number().over(Window.partitionBy("instance", "scope", "kind", "_i").orderBy("ts_ms", "seq"))
-    i = i.withColumn("_n", n).withColumn("_lo", lo).where((F.col("_n") == 1) | (F.col("ts_ms") - F.col("_lo") >= relog_ms))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_ms", "seq"])
-        last, keep = None, []
-        for t in pdf["ts_ms"]:
-            k = last is None or t - last >= relog_ms
-            last = t if k else last
-            keep.append(k)
-        return pdf[keep][columns]
-
-    return i.groupBy("instance", "scope", "kind", "_i").applyInPandas(run, issues.schema)
+    scratch = scratch or Scratch(issues.sparkSession, "log-once")
+    told = running_sum(issues, ["instance", "scope"], ["ts_ms", "seq"], F.col("recovered").cast("int"), scratch, "_i", blocks)
+    return spaced(told.where("not recovered"), ["instance", "scope", "kind", "_i"], "ts_ms", "seq", relog_ms, scratch, blocks).select(*issues.columns)
