@@ -65,11 +65,16 @@ class Codebook:
             one = np.stack(self.rows)
             self.stacked = one[:, self.shift][:, self.shift], one[:, self.shift], one
         a, b, c = self.stacked
-        uniq, at = np.unique(np.concatenate(keys), return_inverse=True)
-        count = np.bincount(np.concatenate(owner) * len(uniq) + at, minlength=len(texts) * len(uniq)).reshape(len(texts), -1).astype(np.float32)
-        for lo in range(0, len(uniq), 4096):
+        keys, owner = np.concatenate(keys), np.concatenate(owner).astype(np.int32)
+        order = np.argsort(keys, kind="stable")
+        keys, owner = keys[order], owner[order]
+        at = np.concatenate(([0], np.cumsum(keys[1:] != keys[:-1])))
+        uniq = keys[np.concatenate(([True], keys[1:] != keys[:-1]))]
+        for lo in range(0, len(uniq), 4096):  # counts of so many triples at a time
             u = uniq[lo : lo + 4096]
-            out += count[:, lo : lo + 4096] @ (a[u >> 42] * b[(u >> 21) & 0x1FFFFF] * c[u & 0x1FFFFF]).astype(np.float32)
+            x, y = np.searchsorted(at, (lo, lo + len(u)))
+            count = np.bincount(owner[x:y].astype(np.int64) * len(u) + (at[x:y] - lo), minlength=len(texts) * len(u)).reshape(len(texts), -1).astype(np.float32)
+            out += count @ (a[u >> 42] * b[(u >> 21) & 0x1FFFFF] * c[u & 0x1FFFFF]).astype(np.float32)
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9), has
 
 
@@ -80,6 +85,14 @@ def _book(dims: int, seed: int) -> Codebook:
     return _BOOKS.setdefault((dims, seed), Codebook(dims, seed))
 
 
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows a few at a time, so that a worker holds few texts as strings; what is freed goes back at the end."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def _groups(texts: list[str | None], chars: int = 200_000) -> Iterator[slice]:
     """Slices of about equal length in characters, so that very long texts don't meet in one matrix."""
     lo, seen = 0, 0
@@ -108,7 +121,7 @@ def train(docs: DataFrame, usable: Column, lang_col: str = "lang", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book, sums = _book(dims, seed), {}
-        for batch in batches:
+        for batch in _small(batches):
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for s in _groups(texts):
                 vecs, _ = book.vectors(texts[s])
@@ -139,7 +152,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = _book(dims, seed)
-        for batch in batches:
+        for batch in _small(batches):
             texts = batch.column(at).to_pylist()
             pred, score = [], []
             for s in _groups(texts):
