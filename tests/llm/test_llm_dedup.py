@@ -366,3 +366,35 @@ def test_a_text_whose_id_holds_a_third_of_all_rows_is_judged_in_parts(spark, scr
     assert exact_dedup.drop_exact_duplicates(docs, scratch).count() == 152
     plan = exact_dedup.exact_dedup(docs, scratch)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window") >= 2 and "_among" in plan
+
+
+def test_recall_of_near_pairs_does_not_fall_with_the_size_of_the_table():
+    rng = random.Random(1)
+
+    def shingles(t):
+        return {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+
+    pairs = []
+    while len(pairs) < 1_000:
+        a = [f"w{rng.randrange(20_000)}" for _ in range(rng.choice([60, 90, 150]))]
+        b = list(a)
+        while (like := len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))) >= 0.86:
+            b[rng.randrange(len(b))] = f"x{rng.randrange(20_000)}"
+        if like >= 0.8:
+            pairs.append((" ".join(a), " ".join(b)))
+    for n in (10**4, 2**24, 2**30):
+        words, width, wipe, most = simhash.wide_plan(n, 0.8, 0.97)
+        at = np.arange(2 * words)
+        take = (at[:, None] // 2 * 64 + at[:, None] % 2 * 32) + np.arange(width)[None, :]
+
+        def keys(text, words=words, width=width, wipe=wipe, at=at, take=take):
+            fp, tip = simhash.wide_fingerprint(text, words)
+            weak = np.argsort(tip[take], axis=1, kind="stable")[:, :wipe]
+            half = np.stack([fp & np.uint64(0xFFFFFFFF), fp >> np.uint64(32)], 1).ravel() & np.uint64((1 << width) - 1)
+            return fp, {(int(s), int(b), int(half[s]) & ~(1 << int(b))) for s in at for b in weak[s]}
+
+        found = 0
+        for a, b in pairs:
+            (x, k), (y, m) = keys(a), keys(b)
+            found += bool(k & m) and int(np.bitwise_count(x ^ y).sum()) <= most
+        assert found >= 950, (n, found)
