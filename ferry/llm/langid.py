@@ -147,24 +147,31 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
     docs = docs.drop(*({"lang_pred", "score"} - {text_col}))
     names = list(prototypes)
     matrix = np.stack([prototypes[k] for k in names]).astype(np.float32) if names else np.zeros((0, dims), dtype=np.float32)
-    schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # only the text travels to Python and only the answer back; the other columns wait in the JVM
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def answer(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         book = _book(dims, seed)
-        for batch in _small(batches):
-            texts = batch.column(at).to_pylist()
+        for batch in batches:
             pred, score = [], []
-            for s in _groups(texts):
-                vecs, has = book.vectors(texts[s])
-                cos = vecs @ matrix.T if names else np.zeros((len(has), 0), dtype=np.float32)
-                for ok, row in zip(has, cos, strict=True):
-                    i = int(row.argmax()) if ok and names else -1
-                    pred.append(names[i] if i >= 0 else UNKNOWN)
-                    score.append(min(1.0, max(0.0, float(row[i]))) if i >= 0 else 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=schema.names)
-
-    return docs.mapInArrow(run, schema)
+            for lo in range(0, len(batch), 512):
+                texts = batch.slice(lo, 512).to_pylist()
+                for s in _groups(texts):
+                    vecs, has = book.vectors(texts[s])
+                    cos = vecs @ matrix.T if names else np.zeros((len(has), 0), dtype=np.float32)
+                    for ok, row in zip(has, cos, strict=True):
+                        i = int(row.argmax()) if ok and names else -1
+                        pred.append(names[i] if i >= 0 else UNKNOWN)
+                        score.append(min(1.0, max(0.0, float(row[i]))) if i >= 0 else 0.0)
+            yield pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["lang_pred", "score"])
+        pa.default_memory_pool().release_unused()
+
+    def named(c: str) -> Column:
+        return F.col(f"`{c.replace('`', '``')}`")
+
+    kept = [named(c) for c in docs.columns]
+    told = docs.select(*kept, answer(named(text_col)).alias("__answer"))
+    return told.select(*kept, F.col("__answer.lang_pred").alias("lang_pred"), F.col("__answer.score").alias("score"))
 
 
 def keep_identified(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", dims: int = 1024, seed: int = 11) -> DataFrame:
