@@ -86,6 +86,15 @@ def test_part_plans(spark, size, mode, part, n):
     assert tuple(total) == (size, n)
 
 
+def test_bytes_committed_do_not_lay_out_or_broadcast_the_plan(spark):
+    objects = spark.createDataFrame([(1, 40 << 20), (2, 5), (3, 0), (4, 100 << 20)], "object long, size long")
+    uploaded = spark.createDataFrame([(1, 1), (1, 3), (1, 3), (1, 4), (1, 0), (2, 1), (3, 1), (9, 1)], "object long, part long")
+    got = parts.bytes_committed(parts.plan_parts(objects, "s3"), uploaded)
+    assert {tuple(r) for r in got.collect()} == {(1, 24 << 20), (2, 5), (3, 0)}
+    plan = got._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "BroadcastExchange" not in plan
+
+
 def test_crc32c_and_its_combination(spark):
     assert integrity.crc32c(b"123456789") == 0xE3069283
     rng = random.Random(1)
