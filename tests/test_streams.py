@@ -6,9 +6,9 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from ferry.operators import metrics, throttle
+from ferry.operators import metrics, ready, throttle
 from ferry.sources import arrivals, files
-from ferry.streaming import stateful
+from ferry.streaming import stateful, streams
 
 OBS = "instance string, relpath string, seq long, observed_ms long, size long, mtime_ms long"
 
@@ -130,6 +130,51 @@ def test_metric_groups_as_streams(spark, tmp_path):
         streams.stream_group(stream, "unknown")
 
 
+def first_state_rows(q):
+    """Rows of the state of the step that is next to the source."""
+    return q.lastProgress["stateOperators"][-1]["numRowsTotal"]
+
+
+def test_queue_of_many_items_keeps_state_by_buckets(spark, tmp_path):
+    rng = random.Random(8)
+    states = [*stateful.QUEUED, "verified", None]
+    log = [("ij"[k % 2], f"f{k % 3_000}", rng.choice(states), rng.randrange(50), 1_000_000 + 20 * k, k) for k in range(6_000)]
+    end = ("z", "z", "ready", 1, 9_000_000, 9_999)
+    schema = "instance string, relpath string, state string, size long, ts_ms long, seq long"
+    got, q = drained(streams.stream_queue(batches(spark, tmp_path / "in", schema, [log[:2_500], log[2_500:], [end]])), tmp_path, "gauges")
+    want, last, total = {}, {}, {}
+    for i, path, state, size, at, _ in log:
+        had = last.get((i, path), (None, 0))
+        if (state, size) != had:
+            t = total.setdefault(i, dict.fromkeys([*stateful.QUEUED, "bytes"], 0))
+            for sign, (s, n) in ((-1, had), (1, (state, size))):
+                if s in t:
+                    t[s] += sign
+                t["bytes"] += sign * n * (s == "ready")
+            last[i, path] = (state, size)
+            want[i, at // 60_000 * 60_000] = (*t.values(), t["failed"], t["in_progress"])
+    assert sorted(got) == sorted((*k, *v) for k, v in want.items())
+    assert first_state_rows(q) <= stateful.BUCKETS  # 3,001 items
+
+
+def test_readiness_of_many_files_keeps_state_by_buckets(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(rng.choice("ij"), f"f{rng.randrange(1_500)}", k, 1_000_000 + 10 * k, rng.choice([1, 1, 2]), 7) for k in range(6_000)]
+    want = sorted(r.seq for r in ready.ready_by_stability(spark.createDataFrame(rows, OBS), 20_000).where("ready").collect())
+    got, q = drained(streams.stream_readiness(batches(spark, tmp_path / "in", OBS, [rows[:2_000], rows[2_000:2_001], rows[2_001:]]), 20_000), tmp_path, "settled")
+    assert sorted(r[2] for r in got) == want and want
+    assert first_state_rows(q) <= stateful.BUCKETS
+
+
+def test_releases_of_many_files_keep_state_and_timers_by_buckets(spark, tmp_path):
+    rng = random.Random(10)
+    rows = [("i", f"f{rng.randrange(4_000)}", k, 1_000_000 + 10 * k, rng.choice([1, 1, 2]), 7) for k in range(8_000)]
+    out = stateful.stream_release(batches(spark, tmp_path / "in", OBS, [rows[:3_000], rows[3_000:]]), 20_000)
+    got, q = drained(out, tmp_path, "many")
+    assert sorted(got) == plain_release(rows, 20_000, rows[-1][3])
+    assert first_state_rows(q) <= 3 * stateful.BUCKETS  # state, and a timer from both sides
+
+
 def run_arrivals(spark, roots, tmp_path, name):
     out = files.stream_manifest(spark, roots, rescan_ms=50, shares=1)
     q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
