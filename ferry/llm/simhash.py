@@ -237,11 +237,12 @@ def _turned(x: Column, by: int) -> Column:
     return F.shiftrightunsigned(x, by).bitwiseOR(F.shiftleft(x, 64 - by))
 
 
-def wide_variants(prints: DataFrame, width: int, wipe: int) -> DataFrame:
-    """(id, key): the deletion variants of a fingerprint: each segment with one of its weak bits wiped out, as a long of
-    segment, place and value."""
-    v = prints.select("id", "fp", F.posexplode("weak").alias("i", "bit"))
-    v = v.select("id", F.floor(F.col("i") / wipe).cast("int").alias("seg"), F.col("bit").cast("int").alias("bit"), "fp")
+def wide_variants(prints: DataFrame, width: int, wipe: int, first: int = 0, segments: int | None = None) -> DataFrame:
+    """(id, key): the deletion variants of a fingerprint: each segment, or ``segments`` of them from ``first`` on, with one of
+    its weak bits wiped out, as a long of segment, place and value."""
+    weak = F.col("weak") if segments is None else F.slice("weak", first * wipe + 1, segments * wipe)
+    v = prints.select("id", "fp", F.posexplode(weak).alias("i", "bit"))
+    v = v.select("id", (F.floor(F.col("i") / wipe) + first).cast("int").alias("seg"), F.col("bit").cast("int").alias("bit"), "fp")
     word = F.get("fp", F.floor(F.col("seg") / 2).cast("int"))
     value = F.when(F.col("seg") % 2 == 1, F.shiftrightunsigned(word, 32)).otherwise(word).bitwiseAND(F.lit((1 << width) - 1))
     place = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
@@ -249,31 +250,105 @@ def wide_variants(prints: DataFrame, width: int, wipe: int) -> DataFrame:
     return v.select("id", head.bitwiseOR(value.bitwiseAND(F.bitwise_not(place))).alias("key"))
 
 
-def similar_links(docs: DataFrame, scratch: Scratch, similarity: float = 0.8, recall: float = 0.97, wipe: int | None = None, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """Links (a, b) of ids of documents whose wide fingerprints are as near as those of texts of this similarity.
+def _wide_forest(fps: np.ndarray, comps: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Links between members of different components that connect whatever all near pairs of them connect. The largest
+    component begins; each member is compared with those that no tree holds yet, and a component is reached as a whole."""
+    out: list[tuple[int, int]] = []
+    comp = np.unique(comps, return_inverse=True)[1]
+    sizes = np.bincount(comp)
+    left = np.lexsort((comp, -sizes[comp]))
+    while len(left):
+        start = comp[left] == comp[left[0]]
+        queue, left = left[start].tolist(), left[~start]
+        while queue and len(left):
+            i = queue.pop()
+            near = np.bitwise_count(fps[left] ^ fps[i]).sum(axis=1, dtype=np.int32) <= most
+            if near.any():
+                out += [(i, int(j)) for j in left[near]]
+                reached = np.isin(comp[left], comp[left[near]])
+                queue += left[reached].tolist()
+                left = left[~reached]
+    return out
+
+
+def _rest_links(members: DataFrame, links: DataFrame, fps: DataFrame, verified, most: int, scratch: Scratch, few: int, block: int) -> DataFrame | None:
+    """Links between members of a bucket (key, n, id) that ``links`` leave in different components; None where there are no
+    such buckets.
+
+    A bucket within one component has nothing to add, and buckets of the same members are one. All pairs of different
+    components are compared: of up to ``few`` members by a join, of more in tasks over pairs of blocks of ``block`` members,
+    which return spanning forests.
+    """
+    comp = components(links, Scratch(scratch.spark, "wide-comp"))
+    many = members.where("n > 3").select("key", "id")
+    many = many.join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    h = F.xxhash64("id")
+    mixed = many.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 20)).alias("y"))
+    mixed = mixed.where("lo <> hi").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
+    rest = scratch.save(many.join(mixed, "key").select("key", "n", "id", "c").distinct(), "wide-rest")
+    if not rest.limit(1).count():
+        return None
+    small = rest.where(F.col("n") <= few).select("key", "id", "c")
+    pairs = small.toDF("key", "a", "ca").join(small.toDF("key", "b", "cb"), "key").where("a < b and ca <> cb").select("a", "b").distinct()
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    large = rest.where(F.col("n") > few).withColumn("i", F.pmod(F.xxhash64("key", "id"), blocks).cast("int"))
+    large = large.withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1))).join(fps, "id")
+    large = large.select("key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "id", "c", "fp")
+
+    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = pdf["id"].to_numpy()
+        met = _wide_forest(np.stack(pdf["fp"].to_numpy()).view(np.uint64), pdf["c"].to_numpy(), most)
+        met = ids[np.array(met, dtype=np.int64).reshape(-1, 2)]
+        return pd.DataFrame({"a": met.min(axis=1), "b": met.max(axis=1)})
+
+    dense = large.groupBy("key", "i", "j").applyInPandas(forest, "a long, b long").distinct()
+    return scratch.save(verified(pairs).unionByName(dense), "wide-rest-links")
+
+
+def similar_links(
+    docs: DataFrame, scratch: Scratch, similarity: float = 0.8, recall: float = 0.97, wipe: int | None = None, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, few: int = 32, block: int = 2048, work: int = 1 << 22
+) -> DataFrame:
+    """Links (a, b) of ids of documents whose wide fingerprints are as near as those of texts of this similarity. They connect
+    whatever all near pairs of the buckets connect.
 
     Of rows that repeat an id with other texts each is indexed, and the least fingerprint stands for the id when links are
-    verified, so reruns agree. Variants meet by equality. Every member of a bucket is verified against two members of it, the first and the last in
-    an order of the ids that four kinds of buckets turn each in its own way. So a bucket of any size costs two rows a
-    member and is counted map-side, and never all pairs; the members of a group meet the same few in most of their
-    buckets, and others where buckets differ. Rows without id take no part. An empty table has no links.
+    verified, so reruns agree. Variants meet by equality, a few segments at a time: some ``work`` variants, or an eighth of all.
+
+    First every member of a bucket is verified against two members of it, the first and the last in an order of the ids that
+    four kinds of buckets turn each in its own way. That costs two rows a member, and leaves most buckets within one component.
+    In the others all pairs of members of different components are compared (:func:`_rest_links`). Rows without id take no
+    part. An empty table has no links.
     """
     docs = docs.where(F.col(id_col).isNotNull())
     n = docs.count()
     words, width, wipe, most = wide_plan(n, similarity, recall, wipe)
     prints = scratch.save(wide_index(docs, words, width, wipe, id_col, text_col, shingle), "wide")
-    index = wide_variants(prints, width, wipe)
     kind = F.pmod(F.shiftrightunsigned("key", 38), F.lit(4))
     salt = F.element_at(F.array(*[F.lit(int(x >> np.uint64(1))) for x in LANES]), (kind + 1).cast("int"))
     order = _turned(F.col("id").bitwiseXOR(salt), 17)
-    ends = index.select("key", order.alias("o")).groupBy("key").agg(F.min("o").alias("a"), F.max("o").alias("b")).where("a <> b")
-    ends = scratch.save(ends.select("key", *[_turned(F.col(c), 47).bitwiseXOR(salt).alias(c) for c in "ab"]), "wide-buckets")
-    met = index.join(ends, "key").select("id", F.explode(F.array("a", "b")).alias("other")).where("id <> other")
-    pairs = scratch.save(met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "wide-pairs")
+    step = -(-2 * words // max(1, min(8, -(-n * 2 * words * wipe // work))))
+    members = None
+    for first in range(0, 2 * words, step):
+        index = wide_variants(prints, width, wipe, first, min(step, 2 * words - first))
+        ends = index.select("key", order.alias("o")).groupBy("key").agg(F.min("o").alias("a"), F.max("o").alias("b"), F.count("*").alias("n")).where("a <> b")
+        ends = scratch.save(ends.select("key", "n", *[_turned(F.col(c), 47).bitwiseXOR(salt).alias(c) for c in "ab"]), f"wide-buckets-{first}")
+        met = scratch.save(index.join(ends, "key").select("key", "n", "id", "a", "b"), f"wide-members-{first}")
+        scratch.drop(f"wide-buckets-{first}")
+        members = met if members is None else members.unionByName(met)
     fps = prints.groupBy("id").agg(F.min("fp").alias("fp"))
-    met = pairs.join(fps.select(F.col("id").alias("a"), F.col("fp").alias("x")), "a").join(fps.select(F.col("id").alias("b"), F.col("fp").alias("y")), "b")
     differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
-    return scratch.save(met.where(differ <= most).select("a", "b"), "wide-links")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        met = pairs.join(fps.select(F.col("id").alias("a"), F.col("fp").alias("x")), "a").join(fps.select(F.col("id").alias("b"), F.col("fp").alias("y")), "b")
+        return met.where(differ <= most).select("a", "b")
+
+    pairs = members.select("id", F.explode(F.array("a", "b")).alias("other")).where("id <> other")
+    pairs = scratch.save(pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "wide-pairs")
+    links = scratch.save(verified(pairs), "wide-links")
+    rest = _rest_links(members, links, fps, verified, most, scratch, few, block)
+    for first in range(0, 2 * words, step):
+        scratch.drop(f"wide-members-{first}")
+    return links if rest is None else scratch.save(links.unionByName(rest).distinct(), "wide-all-links")
 
 
 def drop_similar(docs: DataFrame, scratch: Scratch, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, **options) -> DataFrame:

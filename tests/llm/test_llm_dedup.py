@@ -123,6 +123,61 @@ def test_simhash_edge_cases(spark, scratch):
     assert simhash.simhash_groups(docs.limit(0), scratch).count() == 0
 
 
+def test_all_pairs_of_a_bucket_count(spark, scratch):
+    # many families of texts around one long common part share buckets, and most are near to none of a bucket's two ends
+    rng = np.random.default_rng(12)
+    vocabulary = np.array([f"w{i}" for i in range(5_000)])
+    common, texts = list(rng.choice(vocabulary, 200)), []
+    for _ in range(40):
+        own = list(rng.choice(vocabulary, 200))
+        for _ in range(5):
+            words = common + own
+            words[int(rng.integers(400))] = "x"
+            texts.append((len(texts), " ".join(words)))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    words, width, wipe, most = simhash.wide_plan(len(texts), 0.8, 0.97)
+    prints = simhash.wide_index(df, words, width, wipe).cache()
+    fps = {r["id"]: np.array(r["fp"], dtype=np.int64).view(np.uint64) for r in prints.collect()}
+    buckets = {}
+    for r in simhash.wide_variants(prints, width, wipe).collect():
+        buckets.setdefault(r["key"], set()).add(r["id"])
+    near = {(a, b) for m in buckets.values() for a in m for b in m if a < b and np.bitwise_count(fps[a] ^ fps[b]).sum() <= most}
+
+    def groups(links):
+        of = {i: i for i in fps}
+        for _ in of:
+            before = dict(of)
+            for a, b in links:
+                of[a] = of[b] = min(of[a], of[b])
+            if of == before:
+                break
+        return of
+
+    for options in ({}, {"few": 4, "block": 16, "work": 1}):
+        got = {(r["a"], r["b"]) for r in simhash.similar_links(df, scratch, **options).collect()}
+        assert got <= near and groups(got) == groups(near)
+
+
+def test_forest_of_different_components_against_all_pairs():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, (12, 4)).astype(np.uint64)
+    fps = base[rng.integers(0, 12, 60)] ^ (np.uint64(1) << rng.integers(0, 64, (60, 4)).astype(np.uint64))
+    comps = rng.integers(0, 40, 60)
+    got = simhash._wide_forest(fps, comps, 6)
+    d = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2)
+    assert all(d[i, j] <= 6 and comps[i] != comps[j] for i, j in got)
+
+    def closed(pairs):
+        reach = comps[:, None] == comps[None]
+        for i, j in pairs:
+            reach[i, j] = reach[j, i] = True
+        for k in range(60):
+            reach |= reach[:, [k]] & reach[[k]]
+        return reach
+
+    assert (closed(got) == closed(np.argwhere(d <= 6))).all() and len(got) < 40
+
+
 def test_similar_texts_against_brute_force(spark, scratch):
     """Of the pairs of texts whose five-word shingles are alike by 0.8 or more nearly all share a group; no group joins
     texts that are not alike."""
