@@ -158,6 +158,15 @@ def test_all_pairs_of_a_bucket_count(spark, scratch):
         assert got <= near and groups(got) == groups(near)
 
 
+def test_pairs_away_from_the_ends_of_a_bucket_are_linked(spark, scratch, monkeypatch):
+    # ten pairs of equal texts, all in one bucket: its two ends meet at most two of them
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(simhash, "wide_variants", lambda prints, *_: prints.select("id", F.lit(0).cast("long").alias("key")))
+    df = spark.createDataFrame([(i, " ".join(f"w{i // 2}x{k}" for k in range(50))) for i in range(20)], "doc_id long, text string")
+    assert {(r["a"], r["b"]) for r in simhash.similar_links(df, scratch).collect()} == {(2 * i, 2 * i + 1) for i in range(10)}
+
+
 def test_forest_of_different_components_against_all_pairs():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, (12, 4)).astype(np.uint64)
