@@ -56,8 +56,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Each document is its tokens and an end; longer ones are cut into pieces. Null and empty texts are an end alone.
     Repeated rows are packed each. An empty table gives an empty result. Other columns are left out.
     """
-    items = packing.pieces(docs, *tokenizer(), keep_ids=True)
-    return packing.sequences(packing.pack(items, Scratch(spark, "stage-pack")))
+    return packing.sequences(packing.pack_documents(docs, *tokenizer(), Scratch(spark, "stage-pack"), keep_ids=True))
 
 
 STAGES = [

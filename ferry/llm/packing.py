@@ -32,14 +32,15 @@ def encoder(ranks_path: str, pattern: str, end_id: int = 50256):
     return _ENCODERS[ranks_path]
 
 
-def pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
-    """Token pieces: (doc_id, piece, start, length, ids_crc32[, ids]).
+def pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, numbered: bool = False) -> DataFrame:
+    """Token pieces: (doc_id, piece, start, length, ids_crc32[, ids][, _task, _no]).
 
     A document is its token ids and then ``end_id``; null text has none but that. Longer documents are cut into pieces of
     ``capacity`` tokens, the first of which may be shorter. ``ids`` are little-endian numbers of 16 bits, or of 32 where the
-    vocabulary or the end needs them: of as many bytes as ``ids`` has for each of its ``length`` tokens.
+    vocabulary or the end needs them: of as many bytes as ``ids`` has for each of its ``length`` tokens. ``numbered`` adds what
+    :func:`_number` adds, in the same pass: a pass of its own would hold a second Python worker for each running task.
     """
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids + ", _task long, _no long" * numbered
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path, pattern)
@@ -66,7 +67,10 @@ def pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 1024,
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, schema)
+    def run_numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _number(run(batches))
+
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run_numbered if numbered else run, schema)
 
 
 def _configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[int, np.ndarray]]:
@@ -192,23 +196,18 @@ def plan_bins(histogram: dict[int, int], capacity: int = 1024, groups: int = 96,
     return [k for r in free for k in free[r]]
 
 
-def _numbered(items: DataFrame) -> DataFrame:
-    """Adds (_task, _no): the task that wrote a row, and how many rows of its length that task wrote before it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, seen = TaskContext.get().partitionId(), defaultdict(int)
-        for batch in batches:
-            length = batch.column(batch.schema.names.index("length")).to_numpy(zero_copy_only=False)
-            order = np.argsort(length, kind="stable")
-            values, counts = np.unique(length, return_counts=True)
-            no = np.empty(len(length), dtype=np.int64)
-            no[order] = np.arange(len(length)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat([seen[int(v)] for v in values], counts).astype(np.int64)
-            for v, c in zip(values.tolist(), counts.tolist(), strict=True):
-                seen[v] += c
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(no), task, dtype=np.int64)), pa.array(no)], names=[*batch.schema.names, "_task", "_no"])
-
-    schema = items.select("*", F.lit(0).cast("long").alias("_task"), F.lit(0).cast("long").alias("_no")).schema
-    return items.mapInArrow(run, schema)
+def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds (_task, _no) inside a task: its number, and how many rows of a row's length it had before."""
+    task, seen = TaskContext.get().partitionId(), defaultdict(int)
+    for batch in batches:
+        length = batch.column(batch.schema.names.index("length")).to_numpy(zero_copy_only=False)
+        order = np.argsort(length, kind="stable")
+        values, counts = np.unique(length, return_counts=True)
+        no = np.empty(len(length), dtype=np.int64)
+        no[order] = np.arange(len(length)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat([seen[int(v)] for v in values], counts).astype(np.int64)
+        for v, c in zip(values.tolist(), counts.tolist(), strict=True):
+            seen[v] += c
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(no), task, dtype=np.int64)), pa.array(no)], names=[*batch.schema.names, "_task", "_no"])
 
 
 def pack(items: DataFrame, scratch: Scratch, capacity: int = 1024, groups: int = 96) -> DataFrame:
@@ -219,8 +218,19 @@ def pack(items: DataFrame, scratch: Scratch, capacity: int = 1024, groups: int =
     however common, is ordered in one task; the number says which bin and place the plan gives them. Repeated rows are
     packed each; an empty table gives an empty result.
     """
-    columns = items.columns
-    items = scratch.save(_numbered(items), "pieces", compression="zstd")
+    schema = items.select("*", F.lit(0).cast("long").alias("_task"), F.lit(0).cast("long").alias("_no")).schema
+    return _placed(items.mapInArrow(_number, schema), scratch, capacity, groups)
+
+
+def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, scratch: Scratch, capacity: int = 1024, groups: int = 96, **options) -> DataFrame:
+    """:func:`pack` of the :func:`pieces` of documents, cut and numbered in one pass of Python. ``options`` go to :func:`pieces`."""
+    return _placed(pieces(docs, ranks_path, pattern, capacity, numbered=True, **options), scratch, capacity, groups)
+
+
+def _placed(items: DataFrame, scratch: Scratch, capacity: int, groups: int) -> DataFrame:
+    """Numbered pieces (with _task and _no last) with the sequence and offset that the plan gives them."""
+    columns = items.columns[:-2]
+    items = scratch.save(items, "pieces", compression="zstd")
     counts = scratch.save(items.groupBy("length", "_task").agg(F.count("*").alias("_k")), "counts")
     histogram = {int(r[0]): int(r[1]) for r in counts.groupBy("length").agg(F.sum("_k")).collect()}
     firsts: dict[int, list[tuple[int, int, int]]] = defaultdict(list)

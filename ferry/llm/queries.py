@@ -52,8 +52,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = packing.pieces(_table(spark, sf_dir, "documents"), *tokenizer())
-    return packing.pack(items, Scratch(spark, "op3"))
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), *tokenizer(), Scratch(spark, "op3"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

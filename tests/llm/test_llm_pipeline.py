@@ -128,3 +128,20 @@ def test_stages_keep_columns_with_clashing_names(spark, scratch):
             assert out.columns == docs.columns
             assert not out.where(" OR ".join(f"`{c}` <> concat('{c}-', doc_id)" for c in clash)).count()
             docs = out
+
+
+def test_packing_holds_one_python_worker_a_task(spark, monkeypatch):
+    """Pieces are cut and numbered in one pass: each pass of a task keeps a worker of its own, with a tokenizer in it."""
+    plans = {}
+
+    class Watched(corpus_pipeline.Scratch):
+        def save(self, df, name, **options):
+            plans[name] = df._jdf.queryExecution().executedPlan().toString()
+            return super().save(df, name, **options)
+
+    monkeypatch.setattr(corpus_pipeline, "Scratch", Watched)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(3, "doc_id")
+    docs = docs.unionByName(docs.where("doc_id % 5 = 0"))
+    out = corpus_pipeline.pack_sequences(spark, docs, "").collect()
+    assert plans["pieces"].count("MapInArrow") == 1
+    check_pack(docs.collect(), out)
