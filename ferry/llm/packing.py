@@ -276,13 +276,15 @@ def sequences(packed: DataFrame) -> DataFrame:
         return F.transform("_h", lambda x: x[name])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts, lengths = batch.column(1), batch.column(2)
-            flat = [np.frombuffer(p.as_py(), dtype=f"<u{len(p.as_py()) // n.as_py()}").astype(np.int32) for p, n in zip(parts.flatten(), lengths.flatten(), strict=True)]
-            tokens = np.array([len(x) for x in flat], dtype=np.int64)
-            ends = np.concatenate(([0], np.cumsum(tokens)))[parts.offsets.to_numpy() - parts.offsets[0].as_py()].astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat) if flat else np.zeros(0, dtype=np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids.value_lengths(), ids, *batch.columns[3:]], names=["sequence_id", "length", "ids", "doc_ids", "pieces", "offsets"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):  # the token numbers of a whole batch would be some 40 MB, here and in the JVM
+                batch = whole.slice(lo, 256)
+                parts, lengths = batch.column(1), batch.column(2)
+                flat = [np.frombuffer(p.as_py(), dtype=f"<u{len(p.as_py()) // n.as_py()}").astype(np.int32) for p, n in zip(parts.flatten(), lengths.flatten(), strict=True)]
+                tokens = np.array([len(x) for x in flat], dtype=np.int64)
+                ends = np.concatenate(([0], np.cumsum(tokens)))[parts.offsets.to_numpy() - parts.offsets[0].as_py()].astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat) if flat else np.zeros(0, dtype=np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), ids.value_lengths(), ids, *batch.columns[3:]], names=["sequence_id", "length", "ids", "doc_ids", "pieces", "offsets"])
 
     rows = held.select("sequence_id", *[each(c).alias(c) for c in ("ids", "length", "doc_id", "piece", "offset")])
     return rows.mapInArrow(run, "sequence_id long, length int, ids array<int>, doc_ids array<long>, pieces array<int>, offsets array<long>")

@@ -145,3 +145,17 @@ def test_packing_holds_one_python_worker_a_task(spark, monkeypatch):
     out = corpus_pipeline.pack_sequences(spark, docs, "").collect()
     assert plans["pieces"].count("MapInArrow") == 1
     check_pack(docs.collect(), out)
+
+
+def test_sequences_leave_python_a_few_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+
+    steps = []
+    items = spark.createDataFrame([(0, 1, 0, 1, bytearray(b"\1\0"), 0)], "sequence_id long, doc_id long, piece int, length long, ids binary, offset long")
+    monkeypatch.setattr(type(items), "mapInArrow", lambda self, f, schema: steps.append(f))
+    corpus_pipeline.packing.sequences(items)
+    rows = [{"sequence_id": s, "ids": [bytes([s % 7, 0] * n) for n in (1 + s % 3, 2)], "length": [1 + s % 3, 2], "doc_id": [s, s + 1], "piece": [0, 1], "offset": [0, 1 + s % 3]} for s in range(1000)]
+    got = list(steps[0](iter([pa.RecordBatch.from_pylist(rows)])))
+    assert max(b.num_rows for b in got) <= 256
+    want = [{"sequence_id": r["sequence_id"], "length": sum(r["length"]), "ids": [r["sequence_id"] % 7] * sum(r["length"]), "doc_ids": r["doc_id"], "pieces": r["piece"], "offsets": r["offset"]} for r in rows]
+    assert [r for b in got for r in b.to_pylist()] == want
